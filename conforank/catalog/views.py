@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.means import with_counts
 from ..operators.references import sample_labeled_all
 from ..schema import Params
 
@@ -45,7 +44,7 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_counts(poses(spark, sf_dir).drop("label"))
+    return poses(spark, sf_dir).drop("label")
 
 
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import BROADCAST_BYTES, pin, write_table
-from .topk import SIDE, knn
+from ..storage import pin, write_table
+from .topk import SIDE, knn, library_sizes
 
 # In-degree above which a node's edges are split over several join keys.
 HOT_DEGREE = 1_000_000
 # Steps of the walk planned as one query before its state is written.
-STEPS_PER_WRITE = 5
+STEPS_PER_WRITE = 10
 
 WEIGHT_FLOOR = 1e-12
 
@@ -27,7 +27,6 @@ class Graph:
     edges: DataFrame
     nodes: DataFrame
     hot: DataFrame | None
-    node_count: int
 
 
 def indegree(edges: DataFrame) -> DataFrame:
@@ -63,10 +62,18 @@ def _with_salts(nodes: DataFrame, hot: DataFrame | None) -> DataFrame:
     )
 
 
-def weigh(edges: DataFrame, temperature: float, exponent: float, hot_degree: int = HOT_DEGREE):
-    """Normalised edge weights ``exp(sim/T) / indegree[dst]^gamma`` per source row."""
+def weigh(
+    edges: DataFrame, temperature: float, exponent: float, largest: int | None = None, hot_degree: int = HOT_DEGREE
+):
+    """Normalised edge weights ``exp(sim/T) / indegree[dst]^gamma`` per source row.
+
+    ``largest`` is the size of the largest library if known: no in-degree exceeds it.
+    """
     degrees = indegree(edges)
-    salted, hot = _split_hot(edges, degrees, hot_degree)
+    if largest is not None and largest <= hot_degree:
+        salted, hot = edges.withColumn("salt", F.lit(0)), None
+    else:
+        salted, hot = _split_hot(edges, degrees, hot_degree)
     raw = salted.join(_with_salts(degrees, hot), ["target_id", "dst", "salt"]).withColumn(
         "w", F.exp(F.col("sim") / F.lit(temperature)) / F.pow(F.col("indegree"), F.lit(exponent))
     )
@@ -86,42 +93,60 @@ def build_graph(
 ) -> Graph:
     """Directed kNN graph over ``centers`` (target_id, parent_pos, center)."""
     nodes = centers.select("target_id", F.col("parent_pos").alias("pos"))
-    neighbours = write_table(knn(centers, neighbors, side), "neighbours")
-    edges, hot = weigh(neighbours, temperature, exponent, hot_degree)
-    return Graph(write_table(edges, "edges"), nodes, hot, nodes.count())
+    sizes, fits = library_sizes(centers)
+    largest = sizes.agg(F.max("n")).first()[0]
+    neighbours = write_table(knn(centers, neighbors, side, (sizes, fits)), "neighbours")
+    edges, hot = weigh(neighbours, temperature, exponent, largest, hot_degree)
+    return Graph(write_table(edges, "edges"), nodes, hot)
 
 
-def propagate(
-    graph: Graph, seeds: DataFrame, columns: list[str], restart: float, steps: int,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def propagate(graph: Graph, seeds: DataFrame, columns: list[str], restart: float, steps: int) -> DataFrame:
     """``s = restart*seed + (1-restart) * W s`` repeated; all ``columns`` walk together.
 
-    ``seeds``: (target_id, pos, *columns), any subset of the nodes. Per step the
-    edges meet the state by (target_id, dst, salt) and partial sums go to the
-    source. The edge side of the join is the same in every step, so one query
-    shuffles it once; a state proven small is broadcast instead.
+    ``seeds``: (target_id, pos, *columns), any subset of the nodes. A step joins the
+    edges to the state by destination and sums by source. The sums leave the state
+    partitioned as the next join wants it, and the edge side is the same exchange in
+    every step, so a query over many steps shuffles the edges once and then only
+    partial sums.
     """
     base = graph.nodes.join(seeds, ["target_id", "pos"], "left").select(
         "target_id", "pos", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns]
     )
-    base = write_table(base, "seeds")
-    small = graph.node_count * (8 * len(columns) + 64) <= broadcast_bytes
-    edges = graph.edges.select("target_id", "src", "dst", "salt", "w")
-    anchored = base.select("target_id", "pos", *[(F.lit(restart) * F.col(c)).alias(c) for c in columns])
-    state = base
-    for step in range(1, steps + 1):
-        source = _with_salts(state.withColumnRenamed("pos", "dst"), graph.hot)
-        pulled = edges.join(F.broadcast(source) if small else source, ["target_id", "dst", "salt"]).select(
-            "target_id",
-            F.col("src").alias("pos"),
-            *[(F.lit(1.0 - restart) * F.col("w") * F.col(c)).alias(c) for c in columns],
+    state = base = write_table(base, "seeds")
+    for done in range(0, steps, STEPS_PER_WRITE):
+        count = min(STEPS_PER_WRITE, steps - done)
+        state = write_table(_walk(graph, base, state, columns, restart, count), f"walk-{done + count}")
+    return state
+
+
+def _walk(graph: Graph, base: DataFrame, state: DataFrame, columns: list[str], restart: float, steps: int):
+    """``steps`` updates as one statement, so that it is analysed once."""
+    on = ["target_id", "dst"] if graph.hot is None else ["target_id", "dst", "salt"]
+    # Same filter in every step, which lets all steps read one shuffle of the edges.
+    edges = graph.edges.select(*on, "src", "w").dropna()
+    names = ", ".join(columns)
+    pulled = ", ".join(f"{1.0 - restart!r}D * e.w * s.{c} AS {c}" for c in columns)
+    seeded = ", ".join(f"{restart!r}D * {c} AS {c}" for c in columns)
+    sums = ", ".join(f"sum({c}) AS {c}" for c in columns)
+    source = "SELECT target_id, pos AS dst, {names} FROM {last}"
+    if graph.hot is not None:
+        source = (
+            "SELECT target_id, dst, {names}, explode(sequence(0, coalesce(salts, 1) - 1)) AS salt"
+            " FROM (SELECT target_id, pos AS dst, {names} FROM {last}) LEFT JOIN {{hot}} USING (target_id, dst)"
         )
-        state = (
-            pulled.unionByName(anchored)
-            .groupBy("target_id", "pos")
-            .agg(*[F.sum(c).alias(c) for c in columns])
+    parts, last = [], "{state}"
+    for n in range(1, steps + 1):
+        parts.append(
+            f"""s{n}_step AS (
+              SELECT target_id, pos, {sums} FROM (
+                SELECT e.target_id, e.src AS pos, {pulled}
+                FROM {{edges}} e JOIN ({source.format(names=names, last=last)}) s USING ({", ".join(on)})
+                UNION ALL SELECT target_id, pos, {seeded} FROM {{base}}
+              ) GROUP BY target_id, pos)"""
         )
-        if step % STEPS_PER_WRITE == 0 or step == steps:
-            state = write_table(state, f"walk-{step}")
-    return state
+        last = f"s{n}_step"
+    query = "WITH " + ", ".join(parts) + f" SELECT target_id, pos, {names} FROM {last}"
+    frames = {"edges": edges, "base": base, "state": state}
+    if graph.hot is not None:
+        frames["hot"] = graph.hot
+    return base.sparkSession.sql(query, **frames)

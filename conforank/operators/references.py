@@ -60,9 +60,10 @@ def check_references(refs: DataFrame, molecules: DataFrame) -> None:
     if refs.isEmpty():
         raise ValueError("at least one reference is needed")
     reject_duplicates(refs, [*EPISODE_KEY, "parent_id"], "reference IDs")
-    absent = refs.select("target_id", "parent_id").distinct().join(
-        molecules.select("target_id", "parent_id"), ["target_id", "parent_id"], "left_anti"
-    )
+    # Library rows are narrowed to referenced ones first, which needs no shuffle of them.
+    wanted = refs.select("target_id", "parent_id").distinct()
+    found = molecules.select("target_id", "parent_id").join(wanted, ["target_id", "parent_id"], "left_semi")
+    absent = wanted.join(found.distinct(), ["target_id", "parent_id"], "left_anti")
     reject_if_any(absent, KeyError, "references not in the library", F.col("parent_id"))
 
 

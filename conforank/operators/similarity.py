@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,18 @@ EPISODE_STATS = "array<struct<seed:int,k:int,hi:double,lo:double,s:double,ss:dou
 FEATURES = f"target_id string, parent_pos bigint, parent_id string, n bigint, vec array<double>, ep {EPISODE_STATS}"
 
 
-@dataclass(frozen=True)
-class Context:
-    """What a task needs to know about one target."""
+class Context(NamedTuple):
+    """What a task needs to know about one target; sent as a plain tuple."""
 
     mean: np.ndarray | None
     support: np.ndarray
     episodes: list[tuple[int, int, np.ndarray, int]]
 
 
+def _plain(contexts: dict[str, Context]) -> dict[str, tuple]:
+    return {target: tuple(context) for target, context in contexts.items()}
+
+
 def mean_topk(sims: np.ndarray, k: int) -> np.ndarray:
     """Row-wise mean of the ``k`` largest entries."""
     take = min(k, sims.shape[1])
@@ -44,13 +47,17 @@ def mean_topk(sims: np.ndarray, k: int) -> np.ndarray:
     return sims.mean(axis=1)
 
 
-def reference_rows(conformers: DataFrame, refs: DataFrame, max_conformers: int) -> DataFrame:
-    """First ``max_conformers`` rows of every distinct reference, with raw vectors."""
+def reference_rows(
+    conformers: DataFrame, refs: DataFrame, max_conformers: int, ids: set[str] | None = None
+) -> DataFrame:
+    """First ``max_conformers`` rows of every distinct reference, with raw vectors.
+
+    ``ids``: the distinct reference IDs where the caller has them.
+    """
     wanted = refs.select("target_id", "parent_id").distinct()
-    ids = [r[0] for r in refs.select("parent_id").distinct().limit(FILTER_IDS + 1).collect()]
     scan = conformers.where(F.col("pose_idx") < max_conformers)
-    if len(ids) <= FILTER_IDS:
-        scan = scan.where(F.col("parent_id").isin(ids))
+    if ids is not None and len(ids) <= FILTER_IDS:
+        scan = scan.where(F.col("parent_id").isin(sorted(ids)))
     return scan.join(wanted, ["target_id", "parent_id"], "left_semi").select(
         "target_id", "parent_pos", "parent_id", "pose_idx", "embedding"
     )
@@ -61,12 +68,14 @@ def build_contexts(
     max_conformers: int, topk: int, limit: int = BROADCAST_BYTES,
 ) -> dict[str, Context] | None:
     """Target means and whitened reference rows, or None if they exceed ``limit`` bytes."""
-    width = vector_width(conformers, "embedding")
+    width = vector_width(conformers, "embedding") if projection is None else len(projection)
     row_bytes = 8 * width + 128
-    support, fits = pin(reference_rows(conformers, refs, max_conformers), row_bytes, "support", limit)
-    if not fits:
+    most = max(1, limit // 128)
+    link = refs.select(*EPISODE_KEY, "parent_id").limit(most + 1).toPandas()
+    if len(link) > most:
         return None
-    links, fits = pin(refs.select(*EPISODE_KEY, "parent_id"), 128, "links", limit)
+    own = reference_rows(conformers, refs, max_conformers, set(link["parent_id"]))
+    support, fits = pin(own, row_bytes, "support", limit)
     if not fits:
         return None
     means: dict[str, np.ndarray] = {}
@@ -83,7 +92,6 @@ def build_contexts(
     vectors = to_matrix(frame.column("embedding"))
     targets = np.array(frame.column("target_id").to_pylist(), dtype=object)
     parents = np.array(frame.column("parent_id").to_pylist(), dtype=object)
-    link = links.toPandas()
     contexts = {}
     for target, own in link.groupby("target_id"):
         at = np.flatnonzero(targets == target)
@@ -131,7 +139,7 @@ def molecule_features(
     Output has one row per molecule and Arrow batch: the sum of whitened vectors,
     and per episode the max, min, sum and sum of squares of the pose similarity.
     """
-    shared = conformers.sparkSession.sparkContext.broadcast((contexts, projection))
+    shared = conformers.sparkSession.sparkContext.broadcast((_plain(contexts), projection))
     names = [f.name for f in T._parse_datatype_string(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +155,7 @@ def molecule_features(
                 if target not in known:
                     continue
                 at = np.flatnonzero(codes == code)
-                context = known[target]
+                context = Context(*known[target])
                 starts, sums, sizes, ep = _molecule_partials(context, raw[at], pos[at], matrix)
                 count = len(context.episodes)
                 offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * np.int32(count))
@@ -224,7 +232,7 @@ def pose_similarity(
 
 
 def _pose_similarity_broadcast(white: DataFrame, contexts: dict[str, Context]) -> DataFrame:
-    shared = white.sparkSession.sparkContext.broadcast(contexts)
+    shared = white.sparkSession.sparkContext.broadcast(_plain(contexts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -238,12 +246,13 @@ def _pose_similarity_broadcast(white: DataFrame, contexts: dict[str, Context]) -
                 if target not in known:
                     continue
                 at = np.flatnonzero(codes == code)
-                sims = vectors[at] @ known[target].support.T
+                context = Context(*known[target])
+                sims = vectors[at] @ context.support.T
                 base = pa.RecordBatch.from_arrays(
                     [batch.column(c).take(pa.array(at)) for c in ("target_id", "parent_pos", "parent_id", "pose_idx")],
                     names=["target_id", "parent_pos", "parent_id", "pose_idx"],
                 )
-                for seed, k, cols, take in known[target].episodes:
+                for seed, k, cols, take in context.episodes:
                     yield pa.RecordBatch.from_arrays(
                         [
                             *base.columns,

@@ -117,7 +117,12 @@ def _merge(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
-def knn(centers: DataFrame, k: int, side: int = SIDE) -> DataFrame:
+def library_sizes(centers: DataFrame) -> tuple[DataFrame, bool]:
+    """Vectors per target, pinned."""
+    return pin(centers.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")), 128, "library-sizes")
+
+
+def knn(centers: DataFrame, k: int, side: int = SIDE, sizes: tuple[DataFrame, bool] | None = None) -> DataFrame:
     """k nearest neighbours of each unit vector within its target, itself excluded.
 
     ``centers``: (target_id, parent_pos, center). ``k`` beyond n - 1 gives n - 1.
@@ -127,9 +132,7 @@ def knn(centers: DataFrame, k: int, side: int = SIDE) -> DataFrame:
     if k < 0:
         raise ValueError("the number of neighbours must not be negative")
     spark = centers.sparkSession
-    sizes, fits = pin(
-        centers.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")), 128, "library-sizes"
-    )
+    sizes, fits = sizes or library_sizes(centers)
     sizes = sizes.select(
         "target_id", _block_count(F.col("n"), side, spark.sparkContext.defaultParallelism).alias("blocks")
     )

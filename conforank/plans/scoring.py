@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import zscore
 from ..operators.graph import build_graph, propagate
-from ..operators.means import with_counts
 from ..operators.references import check_references
 from ..operators.similarity import (
     build_contexts,
@@ -44,10 +43,10 @@ def score_library(
     refs = refs.select(
         "target_id", F.col("seed").cast("int").alias("seed"), F.col("k").cast("int").alias("k"), "parent_id"
     )
-    refs, refs_fit = pin(refs, 128, "references")
+    refs, _ = pin(refs, 128, "references")
     check_references(refs, conformers)
     wanted = refs.select("target_id").distinct()
-    library = with_counts(conformers).join(wanted, "target_id", "left_semi")
+    library = conformers.join(wanted, "target_id", "left_semi")
     library = library.withColumn("parent_pos", F.col("parent_pos").cast("bigint"))
 
     contexts = build_contexts(
@@ -62,22 +61,19 @@ def score_library(
         features = write_table(molecule_features(library, contexts, projection), "features")
         centers, pooled = centers_from_features(features), pooled_from_features(features)
     centers = write_table(centers, "centers")
-    walk = graph_scores(centers, refs, params, side, broadcast_bytes)
+    walk = graph_scores(centers, refs, params, side)
     queries = pooled.join(refs, [*EPISODE_KEY, "parent_id"], "left_anti")
     queries = queries.join(walk, MOLECULE_IN_EPISODE)
     queries = write_table(queries, "queries")
-    scored = queries.select(*EPISODE_KEY).distinct()
-    empty = refs.select(*EPISODE_KEY).distinct().join(scored, EPISODE_KEY, "left_anti")
+    moments, fits = episode_moments(queries, params)
+    empty = refs.select(*EPISODE_KEY).distinct().join(moments, EPISODE_KEY, "left_anti")
     reject_if_any(
         empty, ValueError, "no molecules left after removing the references", F.concat_ws("/", *EPISODE_KEY)
     )
-    return fuse(queries, params)
+    return fuse(queries, moments, fits, params)
 
 
-def graph_scores(
-    centers: DataFrame, refs: DataFrame, params: Params, side: int = SIDE,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int = SIDE) -> DataFrame:
     """Random walk state of every molecule: (target_id, seed, k, parent_pos, walk)."""
     graph = build_graph(
         centers, params.graph_neighbors, params.graph_temperature, params.graph_indegree_exponent, side
@@ -99,8 +95,7 @@ def graph_scores(
         ]
     )
     state = propagate(
-        graph, seeds, columns, params.graph_restart_probability,
-        params.graph_propagation_steps, broadcast_bytes,
+        graph, seeds, columns, params.graph_restart_probability, params.graph_propagation_steps
     )
     long = state.select(
         "target_id", F.col("pos").alias("parent_pos"), F.posexplode(F.array(*columns)).alias("slot", "walk")
@@ -111,16 +106,14 @@ def graph_scores(
     return long.join(keyed, ["target_id", "slot"]).select(*MOLECULE_IN_EPISODE, "walk")
 
 
-def fuse(queries: DataFrame, params: Params) -> DataFrame:
-    """z-scores over poses, molecules and walk states, and their weighted sum.
+def episode_moments(queries: DataFrame, params: Params) -> tuple[DataFrame, bool]:
+    """All means and deviations of an episode from one aggregate, pinned.
 
-    ``queries``: one row per episode and non-reference molecule with pose count
-    ``n``, pose similarity ``hi``/``lo``/``s``/``ss`` and ``walk``. One aggregate
-    gives all moments: the pose z-score is linear and monotone, so its maximum and
-    the moments of the pooled score follow from those of ``hi`` or ``lo``.
+    The pose z-score is linear and monotone in the pose similarity, so the moments
+    of its maximum per molecule follow from those of ``hi`` (``lo`` for a negative
+    weight).
     """
-    weight = params.similarity_weight
-    extreme = "hi" if weight >= 0 else "lo"
+    extreme = "hi" if params.similarity_weight >= 0 else "lo"
     stats = queries.groupBy(*EPISODE_KEY).agg(
         F.sum("n").alias("poses"),
         F.sum("s").alias("total"),
@@ -133,15 +126,23 @@ def fuse(queries: DataFrame, params: Params) -> DataFrame:
     mean = F.col("total") / F.col("poses")
     spread = F.greatest(F.col("squares") - F.col("total") * mean, F.lit(0.0))
     pose_std = F.when(F.col("poses") > 1, F.sqrt(spread / (F.greatest(F.col("poses"), F.lit(2)) - 1)))
-    gain = F.abs(F.lit(weight))
-    stats = stats.withColumns({"pose_mean": mean, "pose_std": pose_std})
-    stats, fits = pin(stats, 256, "episode-moments")
-    rows = attach(queries, stats, EPISODE_KEY, fits, ["parent_pos"])
+    return pin(stats.withColumns({"pose_mean": mean, "pose_std": pose_std}), 256, "episode-moments")
+
+
+def fuse(queries: DataFrame, moments: DataFrame, fits: bool, params: Params) -> DataFrame:
+    """z-scores over poses, molecules and walk states, and their weighted sum.
+
+    ``queries``: one row per episode and non-reference molecule with pose count
+    ``n``, pose similarity ``hi``/``lo``/``s``/``ss`` and ``walk``.
+    """
+    weight = params.similarity_weight
+    extreme = "hi" if weight >= 0 else "lo"
+    rows = attach(queries, moments, EPISODE_KEY, fits, ["parent_pos"])
 
     def pooled(x: str):
         return F.lit(weight) * zscore(F.col(x), F.col("pose_mean"), F.col("pose_std"))
 
-    pooled_std = gain * zscore(F.col("extreme_std"), F.lit(0.0), F.col("pose_std"))
+    pooled_std = F.lit(abs(weight)) * zscore(F.col("extreme_std"), F.lit(0.0), F.col("pose_std"))
     direct = zscore(pooled(extreme), pooled("extreme_mean"), pooled_std)
     graph = zscore(F.col("walk"), F.col("walk_mean"), F.col("walk_std"))
     return rows.withColumns({"direct": direct, "graph": graph}).select(

@@ -15,8 +15,9 @@ FROM (SELECT *, (vec_id // 15) * 5 + member AS pos FROM (
 """
 ACTIVES = "SELECT target_id, parent_pos, parent_id, (label = 0)::INT AS label FROM base WHERE pose_idx = 0"
 SERIES = """
-SELECT target_id, parent_id, 's' || (parent_pos % 7) AS series_id FROM actives
-WHERE parent_pos % 7 < 6 OR label = 1
+SELECT target_id, parent_id, 's' || last AS series_id FROM (
+  SELECT target_id, parent_id, max_by(label, pose_idx) AS last, min_by(label, pose_idx) AS first FROM base GROUP BY ALL)
+WHERE last <> 9 OR first = 0
 """
 REFS = f"""
 SELECT a.target_id, 0 AS seed, k.k::INT AS k, (a.n - 1)::INT AS ref_order, a.parent_id

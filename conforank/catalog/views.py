@@ -61,10 +61,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series by position; every seventh molecule has none unless it is active."""
-    s = F.col("parent_pos") % 7
-    return labels(spark, sf_dir).where((s < 6) | (F.col("label") == 1)).select(
-        "target_id", "parent_id", F.format_string("s%d", s).alias("series_id")
+    """Series by the label of the last conformer; 9 means none unless it is active."""
+    rows = poses(spark, sf_dir).groupBy("target_id", "parent_id").agg(
+        F.max_by("label", "pose_idx").alias("last"), F.min_by("label", "pose_idx").alias("first")
+    )
+    return rows.where("last <> 9 or first = 0").select(
+        "target_id", "parent_id", F.format_string("s%d", "last").alias("series_id")
     )
 
 

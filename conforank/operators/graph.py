@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import pin, write_table
-from .topk import SIDE, knn, library_sizes
+from .topk import knn, library_sizes
 
 # In-degree above which a node's edges are split over several join keys.
 HOT_DEGREE = 1_000_000
@@ -88,7 +88,7 @@ def build_graph(
     neighbors: int,
     temperature: float,
     exponent: float,
-    side: int = SIDE,
+    side: int | None = None,
     hot_degree: int = HOT_DEGREE,
 ) -> Graph:
     """Directed kNN graph over ``centers`` (target_id, parent_pos, center)."""

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..schema import EPISODE_KEY, need_columns, reject_duplicates, reject_if_any
 from .means import with_counts
+from .ranking import number_rows
 
 REFERENCES = "target_id string, seed int, k int, ref_order int, parent_id string"
 
@@ -25,17 +26,20 @@ def from_ids(like: DataFrame, target_id: str, ids: list[str], seed: int = 0) ->
 def sample_labeled(labels: DataFrame, target_id: str, k: int, seed: int = 0) -> DataFrame:
     """K actives of one target in the order of a seeded shuffle of their sorted IDs.
 
-    Results must equal Python's generator, so the active IDs of the single target
-    come to the driver; actives are the known hits, not the library.
+    The order must equal that of Python's generator. It depends only on how many
+    actives there are, so the driver shuffles positions and fetches K IDs.
     """
     if k < 1:
         raise ValueError("K must be at least 1")
     own = labels.where((F.col("target_id") == target_id) & (F.col("label") == 1))
-    ids = sorted(r[0] for r in own.select("parent_id").collect())
-    if len(ids) < k:
-        raise ValueError(f"target {target_id} offers {len(ids)} actives but K={k}")
-    random.Random(seed).shuffle(ids)
-    return from_ids(labels, target_id, ids[:k], seed)
+    actives = own.count()
+    if actives < k:
+        raise ValueError(f"target {target_id} offers {actives} actives but K={k}")
+    places = list(range(actives))
+    random.Random(seed).shuffle(places)
+    numbered = number_rows(own.select("parent_id"), [F.col("parent_id")], "place")
+    ids = dict(numbered.where(F.col("place").isin(places[:k])).select("place", "parent_id").collect())
+    return from_ids(labels, target_id, [ids[p] for p in places[:k]], seed)
 
 
 def sample_labeled_all(labels: DataFrame, ks: list[int]) -> DataFrame:

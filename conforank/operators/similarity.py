@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +91,11 @@ def build_contexts(
     if frame.num_rows == 0:
         return {}
     vectors = to_matrix(frame.column("embedding"))
-    targets = np.array(frame.column("target_id").to_pylist(), dtype=object)
+    rows_of = pd.Series(frame.column("target_id").to_pylist()).groupby(frame.column("target_id").to_pylist()).indices
     parents = np.array(frame.column("parent_id").to_pylist(), dtype=object)
     contexts = {}
     for target, own in link.groupby("target_id"):
-        at = np.flatnonzero(targets == target)
+        at = rows_of[target]
         raw = vectors[at]
         mean = means.get(target)
         white = unit_rows(raw if projection is None else (raw - mean) @ projection)

@@ -1,9 +1,13 @@
 """Exact top-k inner products between sets of unit vectors, in bounded cells.
 
 Rows are hashed into blocks of about ``side`` vectors within their target. A cell
-is one pair of blocks; a task multiplies the two blocks and returns only the best
-k partners per vector, and the best of these are merged by source row. The largest
-group a task sees is two blocks, however large a target is.
+is one pair of blocks; a task multiplies the two blocks piece by piece and returns
+only the best k partners per vector, and the best of these are merged by source row.
+The largest group a task sees is two blocks, however large a target is.
+
+With n vectors of d dimensions in a target and b = n / side blocks, each vector is
+sent b times and n * b * k candidates are merged. Blocks are therefore as large as
+BLOCK_BYTES allows. The number of products stays n^2 / 2, as the result is exact.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from pyspark.sql.window import Window
 from ..functions.arrow import to_matrix
 from ..storage import attach, pin
 
-SIDE = 4096
+# Bytes of vectors in a block, of one product held at a time, and the smallest block
+# worth a task of its own.
+BLOCK_BYTES = 64 * 1024 * 1024
+PRODUCT_BYTES = 64 * 1024 * 1024
 SMALL_SIDE = 512
 # A similarity in [-1, 1] is held as an integer of this resolution above the column
 # number, so one partial sort orders by similarity and then by library position.
 RESOLUTION = 1 << 38
 COLUMN_BITS = 24
-CHUNK = 1024
 
 HITS = "target_id string, src bigint, dst bigint, sim double"
 
@@ -52,10 +58,17 @@ def best_columns(sims: np.ndarray, k: int, skip: np.ndarray | None = None):
     return row, last - (chosen & last), (chosen >> COLUMN_BITS) / RESOLUTION
 
 
-def _hits(target: str, src: np.ndarray, dst: np.ndarray, sims, k: int, own: bool) -> list[pa.Table]:
+def block_side(width: int) -> int:
+    """Vectors per block for vectors of this width."""
+    return min(max(SMALL_SIDE, BLOCK_BYTES // (8 * width)), 1 << COLUMN_BITS)
+
+
+def _hits(target: str, left, right, src: np.ndarray, dst: np.ndarray, k: int, own: bool) -> list[pa.Table]:
+    """Best k of ``right`` for every row of ``left``, a bounded product at a time."""
     out = []
-    for start in range(0, len(src), CHUNK):
-        part = np.ascontiguousarray(sims(start, start + CHUNK))
+    chunk = max(1, PRODUCT_BYTES // (8 * max(1, len(dst))))
+    for start in range(0, len(src), chunk):
+        part = left[start : start + chunk] @ right.T
         skip = np.arange(start, start + len(part)) if own else None
         row, col, sim = best_columns(part, k, skip)
         out.append(
@@ -85,18 +98,15 @@ def _cell(k: int, own_set: bool):
         split = int(np.searchsorted(side, 1))
         empty = pa.schema([("target_id", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())]).empty_table()
         if own_set and a == b:
-            tables = _hits(target, pos, pos, lambda s, e: vectors[s:e] @ vectors.T, k, True)
+            tables = _hits(target, vectors, vectors, pos, pos, k, True)
         elif split == 0 or split == len(pos):
             return empty
         else:
             left, right = vectors[:split], vectors[split:]
             lpos, rpos = pos[:split], pos[split:]
+            tables = _hits(target, left, right, lpos, rpos, k, False)
             if own_set:
-                sims = left @ right.T
-                tables = _hits(target, lpos, rpos, lambda s, e: sims[s:e], k, False)
-                tables += _hits(target, rpos, lpos, lambda s, e: sims[:, s:e].T, k, False)
-            else:
-                tables = _hits(target, lpos, rpos, lambda s, e: left[s:e] @ right.T, k, False)
+                tables += _hits(target, right, left, rpos, lpos, k, False)
         return pa.concat_tables([empty, *tables])
 
     return run
@@ -122,16 +132,19 @@ def library_sizes(centers: DataFrame) -> tuple[DataFrame, bool]:
     return pin(centers.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")), 128, "library-sizes")
 
 
-def knn(centers: DataFrame, k: int, side: int = SIDE, sizes: tuple[DataFrame, bool] | None = None) -> DataFrame:
+def knn(
+    centers: DataFrame, k: int, side: int | None = None, sizes: tuple[DataFrame, bool] | None = None
+) -> DataFrame:
     """k nearest neighbours of each unit vector within its target, itself excluded.
 
     ``centers``: (target_id, parent_pos, center). ``k`` beyond n - 1 gives n - 1.
-    Each vector is sent to as many cells as its target has blocks; both directions
-    of a pair come from one product. Ties go to the smaller library position.
+    Each vector is sent to as many cells as its target has blocks, and a cell serves
+    both directions. Ties go to the smaller library position.
     """
     if k < 0:
         raise ValueError("the number of neighbours must not be negative")
     spark = centers.sparkSession
+    side = side or _side_of(centers, "center")
     sizes, fits = sizes or library_sizes(centers)
     sizes = sizes.select(
         "target_id", _block_count(F.col("n"), side, spark.sparkContext.defaultParallelism).alias("blocks")
@@ -152,8 +165,15 @@ def knn(centers: DataFrame, k: int, side: int = SIDE, sizes: tuple[DataFrame, bo
     return _merge(hits, k)
 
 
-def topk_between(queries: DataFrame, data: DataFrame, k: int, side: int = SIDE) -> DataFrame:
+def _side_of(df: DataFrame, column: str) -> int:
+    row = df.select(F.size(column)).first()
+    return block_side(row[0] if row else 1)
+
+
+def topk_between(queries: DataFrame, data: DataFrame, k: int, side: int | None = None) -> DataFrame:
     """Best k of ``data`` for each of ``queries``, both (target_id, pos, vec) of unit length."""
+    side = side or _side_of(data, "vec")
+
     def sized(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("target_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).cast("int").alias(name))
 

@@ -70,34 +70,37 @@ def weighted_moments(rows: DataFrame) -> DataFrame:
     return partial.groupBy("grp", "i").agg(vector_sum("row").alias("row"))
 
 
-def covariance_by_target(conformers: DataFrame) -> DataFrame:
-    """Population covariance of molecule means: (target_id, i, j, c)."""
+def _centered_means(conformers: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Molecule means minus their target's mean, and the size of each target."""
     means = write_table(molecule_means(conformers), "molecule-means")
-    stats = means.groupBy("target_id").agg(
-        F.count(F.lit(1)).alias("n"), vector_mean("mean").alias("m")
+    width = check_width(vector_width(means, "mean"))
+    stats, fits = pin(
+        means.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), vector_mean("mean").alias("m")),
+        8 * width + 128, "target-means",
     )
-    width = 8 * vector_width(means, "mean") + 64
-    stats, fits = pin(stats, width, "target-means")
+    rows = attach(means.select("target_id", "parent_pos", "mean"), stats, ["target_id"], fits, ["parent_pos"])
+    centered = F.zip_with("mean", "m", lambda x, m: x - m)
+    return rows.select("target_id", "parent_pos", "n", centered.alias("x")), stats.select("target_id", "n"), width
+
+
+def covariance_by_target(conformers: DataFrame) -> DataFrame:
+    """Population covariance of molecule means: (target_id, i, j, c)."""
+    rows, _, _ = _centered_means(conformers)
     # Range order keeps a task on few targets; a hot target still covers many tasks.
-    ordered = means.repartitionByRange(F.col("target_id"), F.col("parent_pos"))
+    ordered = rows.repartitionByRange("target_id", "parent_pos")
     moments = weighted_moments(
-        ordered.select(F.col("target_id").alias("grp"), F.lit(1.0).alias("weight"), F.col("mean").alias("x"))
-    ).withColumnRenamed("grp", "target_id")
-    rows = attach(moments, stats, ["target_id"], fits, ["i"])
-    return rows.select("target_id", "i", "n", "m", F.posexplode("row").alias("j", "s")).select(
-        "target_id", "i", "j", (F.col("s") / F.col("n") - F.col("m")[F.col("i")] * F.col("m")[F.col("j")]).alias("c")
+        ordered.select(F.col("target_id").alias("grp"), (F.lit(1.0) / F.col("n")).alias("weight"), "x")
     )
+    return moments.select(F.col("grp").alias("target_id"), "i", F.posexplode("row").alias("j", "c"))
 
 
 def macro_covariance(conformers: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """Unweighted average of the target covariances: (i, j, c), d x d rows.
 
-    Molecule means get weight 1/(T n_t) and target means weight -1/T, which makes
-    the average one signed moment sum; no d x d matrix per target is formed.
+    A molecule of a target with n of them has weight 1/(T n), which makes the average
+    over T targets a single moment sum; no d x d matrix per target is formed.
     """
-    means = write_table(molecule_means(conformers), "molecule-means")
-    width = check_width(vector_width(means, "mean"))
-    sizes, fits = pin(means.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")), 128, "target-sizes")
+    rows, sizes, width = _centered_means(conformers)
     info = sizes.agg(
         F.count(F.lit(1)).alias("targets"), F.sum("n").alias("molecules"), F.min("n").alias("least")
     ).first()
@@ -107,16 +110,9 @@ def macro_covariance(conformers: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         )
     if info["least"] < 2:
         raise ValueError("every target needs two molecules or more")
-    share = F.lit(1.0 / info["targets"])
-    single = F.lit("").alias("grp")
-    molecules = attach(means, sizes, ["target_id"], fits, ["parent_pos"]).select(
-        single, (share / F.col("n")).alias("weight"), F.col("mean").alias("x")
-    )
-    targets = means.groupBy("target_id").agg(vector_mean("mean").alias("x")).select(
-        single, (-share).alias("weight"), "x"
-    )
-    rows = weighted_moments(molecules.unionByName(targets))
-    cov = write_table(rows.select("i", F.posexplode("row").alias("j", "c")), "macro-covariance")
+    weight = F.lit(1.0 / info["targets"]) / F.col("n")
+    moments = weighted_moments(rows.select(F.lit("").alias("grp"), weight.alias("weight"), "x"))
+    cov = write_table(moments.select("i", F.posexplode("row").alias("j", "c")), "macro-covariance")
     return cov, {"targets": info["targets"], "molecules": info["molecules"], "dimension": width}
 
 

@@ -17,7 +17,6 @@ from ..operators.similarity import (
     molecule_features,
     pooled_from_features,
 )
-from ..operators.topk import SIDE
 from ..schema import CONFORMER_COLUMNS, EPISODE_KEY, Params, need_columns, reject_if_any
 from ..storage import BROADCAST_BYTES, attach, pin, write_table
 
@@ -29,7 +28,7 @@ def score_library(
     refs: DataFrame,
     params: Params,
     projection: np.ndarray | None = None,
-    side: int = SIDE,
+    side: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Score every non-reference molecule, for all targets and episodes together.
@@ -45,8 +44,8 @@ def score_library(
     )
     refs, _ = pin(refs, 128, "references")
     check_references(refs, conformers)
-    wanted = refs.select("target_id").distinct()
-    library = conformers.join(wanted, "target_id", "left_semi")
+    wanted, fits = pin(refs.select("target_id").distinct(), 64, "scored-targets")
+    library = attach(conformers, wanted, ["target_id"], fits, ["parent_pos", "pose_idx"])
     library = library.withColumn("parent_pos", F.col("parent_pos").cast("bigint"))
 
     contexts = build_contexts(
@@ -73,7 +72,7 @@ def score_library(
     return fuse(queries, moments, fits, params)
 
 
-def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int = SIDE) -> DataFrame:
+def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int | None = None) -> DataFrame:
     """Random walk state of every molecule: (target_id, seed, k, parent_pos, walk)."""
     graph = build_graph(
         centers, params.graph_neighbors, params.graph_temperature, params.graph_indegree_exponent, side

@@ -7,9 +7,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import to_lists
 from ..operators.means import with_counts
 from ..operators.references import validate_pool
 from ..operators.whitening import from_long, to_long
@@ -31,7 +33,8 @@ def write_cache(conformers: DataFrame, path: str, labels: DataFrame | None = Non
         *[F.col(c) for c in CONFORMER_COLUMNS if c != "embedding"],
         F.col("embedding").cast("array<float>").alias("embedding"),
     )
-    ordered = rows.repartitionByRange("target_id", "parent_pos").sortWithinPartitions("target_id", "parent_pos", "pose_idx")
+    place = ["target_id", "parent_pos", "pose_idx"]
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place)
     ordered.write.mode("errorifexists").partitionBy("target_id").parquet(f"{path}/conformers")
     stored = read_conformers(conformers.sparkSession, path)
     stored.where("pose_idx = 0").select("target_id", "parent_pos", "parent_id", "n_conf").write.mode(
@@ -236,13 +239,13 @@ def import_npz_pool(spark: SparkSession, source: str) -> DataFrame:
         raise ValueError("pool counts do not fit the vectors")
     owner = np.repeat(np.arange(len(ids)), counts)
     first = np.cumsum(counts) - counts
-    frame = pd.DataFrame(
+    rows = pa.table(
         {
-            "parent_pos": owner, "parent_id": ids[owner], "n_conf": counts[owner],
-            "pose_idx": (np.arange(len(owner)) - first[owner]).astype(np.int32), "embedding": list(raw),
-            "canonical_smiles": smiles[owner] if len(smiles) else None,
+            "parent_pos": owner, "parent_id": ids[owner].tolist(), "n_conf": counts[owner],
+            "pose_idx": (np.arange(len(owner)) - first[owner]).astype(np.int32), "embedding": to_lists(raw),
+            "canonical_smiles": pa.array(smiles[owner].tolist() if len(smiles) else [None] * len(owner), pa.string()),
         }
     )
-    pool = spark.createDataFrame(frame, POOL)
+    pool = spark.createDataFrame(rows)
     validate_pool(pool)
     return pool

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -66,12 +66,12 @@ def _read_blocks(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def _parse(raw: DataFrame, toolkit: Callable[[], object], method: str) -> DataFrame:
-    def convert(batches):
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         parse = getattr(toolkit(), method)
         for structures in batches:
             yield pd.Series([parse(s) for s in structures], dtype=object)
 
-    canonical = F.pandas_udf(convert, "string", F.PandasUDFType.SCALAR_ITER)
+    canonical = F.pandas_udf(convert, "string")
     return raw.select("parent_pos", "parent_id", canonical("structure").alias("canonical_smiles"))
 
 

@@ -34,7 +34,7 @@ def write_benchmark(scores: DataFrame, summary: DataFrame, path: str) -> None:
     ranked.repartitionByRange("target_id", "seed", "K", "rank").sortWithinPartitions(
         "target_id", "seed", "K", "rank"
     ).write.mode("errorifexists").partitionBy(*keys).csv(f"{path}/scores", header=True)
-    names = [c for c in summary.columns if c not in keys]
+    names = [f"`{c}`" for c in summary.columns if c not in keys]
     flat = summary.withColumn("support_parent_ids", F.to_json("support_parent_ids"))
     flat.select(*keys, *names).sortWithinPartitions("target_id", "K").write.mode("errorifexists").partitionBy(
         *keys

@@ -156,11 +156,11 @@ def covariance_macro_shrunk(spark, sf):
 )
 def fit_whitener_identity(spark, sf):
     """The fitted projection turns the shrunk covariance plus eps into the identity."""
-    library, eps = views.library(spark, sf), 1e-5
-    matrix, info = whitening.fit_whitener(library, 0.01, eps)
-    cov, _ = whitening.macro_covariance(library)
+    eps = 1e-5
+    cov, info = whitening.macro_covariance(views.library(spark, sf))
+    matrix = whitening.projection_from(cov, 0.01, eps).astype(np.float64)
     dense = whitening.from_long(whitening.shrink(cov, 0.01), "c") + eps * np.eye(info["dimension"])
-    check = matrix.astype(np.float64) @ dense @ matrix.astype(np.float64)
+    check = matrix @ dense @ matrix
     return whitening.to_long(spark, np.round(check, 4) + 0.0, "v")
 
 
@@ -195,12 +195,15 @@ def _walk(spark, sf, steps):
 
     params = dataclasses.replace(PARAMS, graph_propagation_steps=steps)
     walk = scoring.graph_scores(centers(spark, sf), views.references(spark, sf), params)
-    return walk.select(*EPISODE_KEY, "parent_pos", (F.round(F.col("walk"), 9) + F.lit(0.0)).alias("walk"))
+    # States that are exactly 0 may be absent.
+    return walk.where("walk <> 0").select(
+        *EPISODE_KEY, "parent_pos", (F.round(F.col("walk"), 9) + F.lit(0.0)).alias("walk")
+    )
 
 
 def _walk_sql(steps):
     return duck.sql(
-        [*GRAPH, *duck.walk(steps)], f"SELECT {EP}, parent_pos, round(walk, 9) + 0.0 AS walk FROM walk"
+        [*GRAPH, *duck.walk(steps)], f"SELECT {EP}, parent_pos, round(walk, 9) + 0.0 AS walk FROM walk WHERE walk <> 0"
     )
 
 
@@ -285,8 +288,7 @@ def score_library_whitened(spark, sf):
     )
 )
 def rank_library(spark, sf):
-    scores = write_table(_scores(spark, sf, np.eye(64)), "scores")
-    return ranking.rank_rows(scores, EPISODE_KEY).select(*EPISODE_KEY, "parent_id", "rank", six("score"))
+    return ranking.rank_rows(_scores(spark, sf, np.eye(64)), EPISODE_KEY).select(*EPISODE_KEY, "parent_id", "rank", six("score"))
 
 
 # -- selections, references, splits -------------------------------------------------

@@ -21,11 +21,10 @@ WEIGHT_FLOOR = 1e-12
 
 @dataclass
 class Graph:
-    """``edges`` (target_id, src, dst, salt, sim, w), ``nodes`` (target_id, pos) and
-    ``hot`` (target_id, dst, salts): nodes whose incoming edges are split."""
+    """``edges`` (target_id, src, dst, salt, sim, w) and ``hot`` (target_id, dst,
+    salts): nodes whose incoming edges are split."""
 
     edges: DataFrame
-    nodes: DataFrame
     hot: DataFrame | None
 
 
@@ -92,34 +91,33 @@ def build_graph(
     hot_degree: int = HOT_DEGREE,
 ) -> Graph:
     """Directed kNN graph over ``centers`` (target_id, parent_pos, center)."""
-    nodes = centers.select("target_id", F.col("parent_pos").alias("pos"))
     sizes, fits = library_sizes(centers)
     largest = sizes.agg(F.max("n")).first()[0]
     neighbours = write_table(knn(centers, neighbors, side, (sizes, fits)), "neighbours")
     edges, hot = weigh(neighbours, temperature, exponent, largest, hot_degree)
-    return Graph(write_table(edges, "edges"), nodes, hot)
+    return Graph(write_table(edges, "edges"), hot)
 
 
 def propagate(graph: Graph, seeds: DataFrame, columns: list[str], restart: float, steps: int) -> DataFrame:
     """``s = restart*seed + (1-restart) * W s`` repeated; all ``columns`` walk together.
 
-    ``seeds``: (target_id, pos, *columns), any subset of the nodes. A step joins the
-    edges to the state by destination and sums by source. The sums leave the state
+    ``seeds``: (target_id, pos, *columns). The state is sparse: it starts as the seeds
+    and gains the nodes they reach; a node that is absent has state 0. A step joins
+    edges and state by destination and sums by source. The sums leave the state
     partitioned as the next join wants it, and the edge side is the same exchange in
     every step, so a query over many steps shuffles the edges once and then only
     partial sums.
     """
-    base = graph.nodes.join(seeds, ["target_id", "pos"], "left").select(
-        "target_id", "pos", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns]
-    )
-    state = base = write_table(base, "seeds")
+    state = seeds = seeds.select("target_id", "pos", *columns)
     for done in range(0, steps, STEPS_PER_WRITE):
         count = min(STEPS_PER_WRITE, steps - done)
-        state = write_table(_walk(graph, base, state, columns, restart, count), f"walk-{done + count}")
+        state = _walk(graph, seeds, state, columns, restart, count)
+        if done + count < steps:
+            state = write_table(state, f"walk-{done + count}")
     return state
 
 
-def _walk(graph: Graph, base: DataFrame, state: DataFrame, columns: list[str], restart: float, steps: int):
+def _walk(graph: Graph, seeds: DataFrame, state: DataFrame, columns: list[str], restart: float, steps: int):
     """``steps`` updates as one statement, so that it is analysed once."""
     on = ["target_id", "dst"] if graph.hot is None else ["target_id", "dst", "salt"]
     # Same filter in every step, which lets all steps read one shuffle of the edges.
@@ -137,16 +135,16 @@ def _walk(graph: Graph, base: DataFrame, state: DataFrame, columns: list[str], r
     parts, last = [], "{state}"
     for n in range(1, steps + 1):
         parts.append(
-            f"""s{n}_step AS (
+            f"""step_{n} AS (
               SELECT target_id, pos, {sums} FROM (
                 SELECT e.target_id, e.src AS pos, {pulled}
                 FROM {{edges}} e JOIN ({source.format(names=names, last=last)}) s USING ({", ".join(on)})
-                UNION ALL SELECT target_id, pos, {seeded} FROM {{base}}
+                UNION ALL SELECT target_id, pos, {seeded} FROM {{seeds}}
               ) GROUP BY target_id, pos)"""
         )
-        last = f"s{n}_step"
+        last = f"step_{n}"
     query = "WITH " + ", ".join(parts) + f" SELECT target_id, pos, {names} FROM {last}"
-    frames = {"edges": edges, "base": base, "state": state}
+    frames = {"edges": edges, "seeds": seeds, "state": state}
     if graph.hot is not None:
         frames["hot"] = graph.hot
-    return base.sparkSession.sql(query, **frames)
+    return graph.edges.sparkSession.sql(query, **frames)

@@ -56,12 +56,11 @@ def running_totals(
 
 def rank_rows(
     df: DataFrame, by: list[str], score: str = "score", position: str = "parent_pos",
-    window_rows: int = WINDOW_ROWS,
+    largest_group: int | None = None, window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add ``rank`` 1..n by descending score within ``by``."""
-    return running_totals(
-        df, by, score_order(score, position), {"rank": F.lit(1).cast("bigint")}, window_rows=window_rows
-    )
+    one = {"rank": F.lit(1).cast("bigint")}
+    return running_totals(df, by, score_order(score, position), one, largest_group, window_rows)
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str, window_rows: int = WINDOW_ROWS) -> DataFrame:

@@ -63,12 +63,17 @@ def check_references(refs: DataFrame, molecules: DataFrame) -> None:
     need_columns(refs, [*EPISODE_KEY, "parent_id"], "references")
     if refs.isEmpty():
         raise ValueError("at least one reference is needed")
-    reject_duplicates(refs, [*EPISODE_KEY, "parent_id"], "reference IDs")
+    key = ["target_id", "parent_id"]
     # Library rows are narrowed to referenced ones first, which needs no shuffle of them.
-    wanted = refs.select("target_id", "parent_id").distinct()
-    found = molecules.select("target_id", "parent_id").join(wanted, ["target_id", "parent_id"], "left_semi")
-    absent = wanted.join(found.distinct(), ["target_id", "parent_id"], "left_anti")
-    reject_if_any(absent, KeyError, "references not in the library", F.col("parent_id"))
+    found = molecules.select(*key).join(refs.select(*key).distinct(), key, "left_semi").distinct()
+    uses = refs.groupBy(*EPISODE_KEY, "parent_id").count()
+    checked = uses.join(found.withColumn("found", F.lit(True)), key, "left")
+    bad = checked.where("count > 1 or found is null").select("parent_id", "found").limit(5).collect()
+    absent = [r["parent_id"] for r in bad if not r["found"]]
+    if absent:
+        raise KeyError(f"references not in the library: {', '.join(absent)}")
+    if bad:
+        raise ValueError(f"reference IDs must be unique: {', '.join(r['parent_id'] for r in bad)}")
 
 
 def validate_pool(pool: DataFrame) -> None:

@@ -142,8 +142,11 @@ def fit_whitener(conformers: DataFrame, shrinkage: float = 0.01, eps: float = 1e
     if eps <= 0.0:
         raise ValueError("eps must be positive")
     cov, info = macro_covariance(conformers)
-    dense = from_long(shrink(cov, shrinkage), "c")
-    return inverse_root(dense, eps).astype(np.float32), info
+    return projection_from(cov, shrinkage, eps), info
+
+
+def projection_from(cov: DataFrame, shrinkage: float, eps: float) -> np.ndarray:
+    return inverse_root(from_long(shrink(cov, shrinkage), "c"), eps).astype(np.float32)
 
 
 def from_long(table: DataFrame, value: str) -> np.ndarray:

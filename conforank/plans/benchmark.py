@@ -15,7 +15,7 @@ from ..schema import EPISODE_KEY, Params, reject_if_any
 from ..sources import cache as store
 from ..sources import tables
 from ..sources.sinks import stamped, write_benchmark
-from ..storage import write_table
+from ..storage import pin, write_table
 from .scoring import score_library
 
 # Split protocols of each benchmark and their folders.
@@ -64,20 +64,23 @@ def evaluate(
     """
     refs = tables.episode_references(episodes)
     check_references(refs, molecules)
-    members = write_table(splits.episode_members(molecules, refs, split, series, candidates), "members")
-    counts = write_table(splits.member_counts(members, labels, split), "member-counts")
+    members = splits.episode_members(molecules, refs, split, series, candidates)
+    if split != "molecule-random":
+        members = write_table(members, "members")
+    counts, _ = pin(splits.member_counts(members, labels, split), 128, "member-counts")
     splits.reconcile(counts, episodes)
-    scores = write_table(score_episodes(conformers, refs, members, split, params, projection), "scores")
+    scores = score_episodes(conformers, refs, members, split, params, projection)
     check_ranked(scores, members)
     labelled = scores.join(labels.select("target_id", "parent_id", "label"), ["target_id", "parent_id"])
-    ranked = write_table(rank_rows(labelled, EPISODE_KEY), "ranked")
+    largest = counts.agg(F.max("candidate_count")).first()[0]
+    ranked = write_table(rank_rows(labelled, EPISODE_KEY, largest_group=largest), "ranked")
     measured = metrics.screening_metrics(ranked, EPISODE_KEY)
     summary = (
         episodes.select(*EPISODE_KEY, "support_parent_ids", F.size("support_parent_ids").alias("support_count"))
         .join(counts, EPISODE_KEY)
         .join(measured, EPISODE_KEY)
     )
-    return ranked, write_table(summary, "summary")
+    return ranked, pin(summary, 4096, "summary")[0]
 
 
 def run_benchmark(

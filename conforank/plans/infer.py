@@ -10,7 +10,6 @@ from ..operators.references import from_ids, materialize_external, sample_labele
 from ..schema import Params
 from ..sources import cache as store
 from ..sources.sinks import write_ranking
-from ..storage import write_table
 from .scoring import score_library
 
 # How a run names the origin of its references.
@@ -51,7 +50,7 @@ def infer(
             raise ValueError("an external pool needs a whitener")
         library, refs = materialize_external(library, pool, target, seed)
         library_size += refs.count()
-    scores = write_table(score_library(library, refs, params, projection), "scores")
+    scores = score_library(library, refs, params, projection)
     info = {
         "target": target,
         "reference_mode": mode,

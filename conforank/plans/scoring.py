@@ -62,7 +62,7 @@ def score_library(
     centers = write_table(centers, "centers")
     walk = graph_scores(centers, refs, params, side)
     queries = pooled.join(refs, [*EPISODE_KEY, "parent_id"], "left_anti")
-    queries = queries.join(walk, MOLECULE_IN_EPISODE)
+    queries = queries.join(walk, MOLECULE_IN_EPISODE, "left").fillna(0.0, ["walk"])
     queries = write_table(queries, "queries")
     moments, fits = episode_moments(queries, params)
     empty = refs.select(*EPISODE_KEY).distinct().join(moments, EPISODE_KEY, "left_anti")
@@ -73,7 +73,7 @@ def score_library(
 
 
 def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int | None = None) -> DataFrame:
-    """Random walk state of every molecule: (target_id, seed, k, parent_pos, walk)."""
+    """Random walk states (target_id, seed, k, parent_pos, walk); absent ones are 0."""
     graph = build_graph(
         centers, params.graph_neighbors, params.graph_temperature, params.graph_indegree_exponent, side
     )
@@ -93,6 +93,7 @@ def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int
             for n, c in enumerate(columns)
         ]
     )
+    seeds, _ = pin(seeds, 64 + 8 * slots, "seeds")
     state = propagate(
         graph, seeds, columns, params.graph_restart_probability, params.graph_propagation_steps
     )

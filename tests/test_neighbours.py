@@ -81,5 +81,7 @@ def test_graph_and_walk(spark, hot_degree):
         state = seed
         for _ in range(steps):
             state = 0.2 * seed + 0.8 * w @ state
-        got = g.propagate(graph, seeds, ["s0", "s1"], 0.2, steps).toPandas().sort_values("pos")
+        got = g.propagate(graph, seeds, ["s0", "s1"], 0.2, steps).toPandas().set_index("pos")
+        assert got.index.is_unique
+        got = got.reindex(range(len(m)), fill_value=0.0)
         np.testing.assert_allclose(got[["s0", "s1"]], state, atol=1e-12)

@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from ..operators.references import validate_pool
 from ..operators.whitening import from_long, to_long
 from ..schema import CONFORMER_COLUMNS, need_columns, reject_duplicates, reject_if_any
 
+# Rows handed to Spark at a time when foreign arrays are read.
+IMPORT_ROWS = 10_000
+
 CONFORMERS = "parent_pos bigint, parent_id string, n_conf bigint, pose_idx int, embedding array<float>, target_id string"
 MOLECULES = "target_id string, parent_pos bigint, parent_id string, n_conf bigint"
 LABELS = "target_id string, parent_id string, label int"
@@ -142,42 +146,64 @@ def read_whitener(spark: SparkSession, path: str) -> np.ndarray:
     return np.asarray(matrix, dtype=np.float64)
 
 
+def _open(uri: str):
+    """Seekable input of any file system Arrow knows, for use inside tasks."""
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file:///" + uri.removeprefix("file:/").lstrip("/")
+    files, path = FileSystem.from_uri(uri)
+    return files.open_input_file(path)
+
+
+def _npy_header(stream) -> tuple[int, int, np.dtype]:
+    form = np.lib.format
+    version = form.read_magic(stream)
+    read = form.read_array_header_1_0 if version == (1, 0) else form.read_array_header_2_0
+    shape, by_column, dtype = read(stream)
+    if len(shape) != 2 or by_column:
+        raise ValueError("vector shards must be row-major matrices")
+    return shape[0], shape[1], dtype
+
+
 def read_npy_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``embeddings_*.npy`` shards as (row_id, embedding), numbered in name order.
 
-    Shards are parsed by the executors. A first pass returns only their shapes.
+    Executors read the shards piece by piece. A first pass reads only the headers;
+    the driver sees one line per shard.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "embeddings_*.npy").load(str(folder))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "embeddings_*.npy").load(str(folder)).select("path")
 
     def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [_parse_npy(c).shape for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "rows": [m[0] for m in made], "width": [m[1] for m in made]})
+            made = []
+            for path in pdf["path"]:
+                with _open(path) as stream:
+                    made.append((path, *_npy_header(stream)[:2]))
+            yield pd.DataFrame(made, columns=["path", "rows", "width"])
 
-    found = files.select("path", "content").mapInPandas(shapes, "path string, rows bigint, width int")
-    shards = found.toPandas().sort_values("path")
+    shards = files.mapInPandas(shapes, "path string, rows bigint, width int").toPandas().sort_values("path")
     if shards.empty:
         raise FileNotFoundError(f"no embeddings_*.npy under {folder}")
     if shards["width"].nunique() != 1:
         raise ValueError(f"vector widths differ between shards: {sorted(set(shards['width']))}")
-    shards["first"] = shards["rows"].cumsum() - shards["rows"]
-    starts = dict(zip(shards["path"], shards["first"].astype(int)))
+    first = shards["rows"].cumsum() - shards["rows"]
+    starts = spark.sparkContext.broadcast(dict(zip(shards["path"], first.astype(int))))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                matrix = _parse_npy(content)
-                for at in range(0, len(matrix), 10_000):
-                    part = matrix[at : at + 10_000].astype(np.float32)
-                    yield pd.DataFrame({"row_id": starts[path] + at + np.arange(len(part)), "embedding": list(part)})
-
-    return files.select("path", "content").mapInPandas(rows, "row_id bigint, embedding array<float>")
-
-
-def _parse_npy(content: bytes) -> np.ndarray:
-    import io
+            for path in pdf["path"]:
+                with _open(path) as stream:
+                    count, width, dtype = _npy_header(stream)
+                    for at in range(0, count, IMPORT_ROWS):
+                        size = min(IMPORT_ROWS, count - at)
+                        part = np.frombuffer(stream.read(size * width * dtype.itemsize), dtype).reshape(size, width)
+                        yield pd.DataFrame(
+                            {
+                                "row_id": starts.value[path] + at + np.arange(size),
+                                "embedding": list(part.astype(np.float32)),
+                            }
+                        )
 
-    return np.load(io.BytesIO(content), allow_pickle=False)
+    return files.mapInPandas(rows, "row_id bigint, embedding array<float>")
 
 
 def read_npz_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
@@ -185,14 +211,12 @@ def read_npz_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     The file is one archive, so one executor task unpacks it and streams rows out.
     """
-    files = spark.read.format("binaryFile").load(str(path)).select("content")
+    files = spark.read.format("binaryFile").load(str(path)).select("path")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         for pdf in batches:
-            for content in pdf["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as stored:
+            for name in pdf["path"]:
+                with np.load(_open(name), allow_pickle=False) as stored:
                     names = stored["target_ids"].astype(str)
                     offsets, ids = stored["parent_offsets"].astype(np.int64), stored["parent_ids"].astype(str)
                     starts, counts = stored["parent_starts"], stored["parent_counts"]
@@ -205,8 +229,8 @@ def read_npz_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                 if labels is not None and len(labels) != len(ids):
                     raise ValueError("index labels do not fit the molecules")
                 for name, begin, end in zip(names, offsets[:-1], offsets[1:]):
-                    for at in range(begin, end, 10_000):
-                        cut = slice(at, min(at + 10_000, end))
+                    for at in range(begin, end, IMPORT_ROWS):
+                        cut = slice(at, min(at + IMPORT_ROWS, end))
                         yield pd.DataFrame(
                             {
                                 "target_id": name, "parent_pos": np.arange(cut.start, cut.stop) - begin,

@@ -15,6 +15,7 @@ def spark():
     os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).parent), os.environ.get("PYTHONPATH")]))
     session = build_session("8", "conforank-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="conforank-tests-"))
     yield session
     session.stop()

@@ -60,12 +60,12 @@ def test_between_sets(spark):
         np.testing.assert_allclose(np.sort(got[got.src == i]["sim"])[::-1], want[i], atol=1e-10)
 
 
-@pytest.mark.parametrize("hot_degree", [1_000_000, 3])
+@pytest.mark.parametrize("hot_degree", [1_000_000, 44, 3])
 def test_graph_and_walk(spark, hot_degree):
     m = np.concatenate([random_units(30, 4, 8), np.tile(random_units(1, 4, 9), (15, 1))])
     centers = frame(spark, {"T": m})
     graph = g.build_graph(centers, 6, 0.3, 0.2, hot_degree=hot_degree)
-    assert (graph.hot is None) == (hot_degree > 100)
+    assert (graph.hot is None) == (hot_degree > 10)
     edges = graph.edges.toPandas()
     dst, sims = oracle.knn(m, 6)
     np.testing.assert_allclose(edges.groupby("src")["w"].sum(), 1.0, atol=1e-12)

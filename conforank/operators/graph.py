@@ -120,8 +120,10 @@ def propagate(graph: Graph, seeds: DataFrame, columns: list[str], restart: float
 def _walk(graph: Graph, seeds: DataFrame, state: DataFrame, columns: list[str], restart: float, steps: int):
     """``steps`` updates as one statement, so that it is analysed once."""
     on = ["target_id", "dst"] if graph.hot is None else ["target_id", "dst", "salt"]
-    # Same filter in every step, which lets all steps read one shuffle of the edges.
-    edges = graph.edges.select(*on, "src", "w").dropna()
+    # The filter that joins would infer for some steps only; stated for all, it lets
+    # every step read the same shuffle of the edges.
+    present = " AND ".join(f"{c} IS NOT NULL" for c in [*on, "src"])
+    edges = graph.edges.select(*on, "src", "w").where(present)
     names = ", ".join(columns)
     pulled = ", ".join(f"{1.0 - restart!r}D * e.w * s.{c} AS {c}" for c in columns)
     seeded = ", ".join(f"{restart!r}D * {c} AS {c}" for c in columns)

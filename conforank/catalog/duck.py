@@ -194,7 +194,7 @@ def counts(split: str) -> str:
 
 # -- metrics --------------------------------------------------------------------
 
-DOCS = ("scored", """SELECT d.lang AS g, d.doc_id AS pos, d.n_chars::DOUBLE AS score, l.quality AS label
+DOCS = ("scored", """SELECT CASE WHEN d.lang = 'en' THEN 'en' ELSE 'other' END AS g, d.doc_id AS pos, d.n_chars::DOUBLE AS score, l.quality AS label
                      FROM documents d JOIN labels l USING (doc_id)""")
 METRIC_STEPS = [
     ("ranked", """SELECT *, row_number() OVER o AS rnk, sum(label) OVER o AS hits FROM scored

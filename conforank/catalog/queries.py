@@ -457,7 +457,8 @@ def documents(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "n_chars")
     q = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
     return d.join(q, "doc_id").select(
-        F.col("lang").alias("g"), F.col("doc_id").alias("pos"),
+        # Two groups that hold both classes at every scale.
+        F.when(F.col("lang") == "en", "en").otherwise("other").alias("g"), F.col("doc_id").alias("pos"),
         F.col("n_chars").cast("double").alias("score"), F.col("quality").cast("int").alias("label"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +12,7 @@ from ..functions.vectors import zscore
 from ..operators.graph import build_graph, propagate
 from ..operators.references import check_references
 from ..operators.similarity import (
+    FILTER_IDS,
     build_contexts,
     centers_from_features,
     features_beyond_broadcast,
@@ -42,11 +44,10 @@ def score_library(
     refs = refs.select(
         "target_id", F.col("seed").cast("int").alias("seed"), F.col("k").cast("int").alias("k"), "parent_id"
     )
-    refs, _ = pin(refs, 128, "references")
-    check_references(refs, conformers)
-    wanted, fits = pin(refs.select("target_id").distinct(), 64, "scored-targets")
-    library = attach(conformers, wanted, ["target_id"], fits, ["parent_pos", "pose_idx"])
+    refs, fits = pin(refs, 128, "references")
+    library = _referenced_targets(conformers, refs, fits)
     library = library.withColumn("parent_pos", F.col("parent_pos").cast("bigint"))
+    check_references(refs, library)
 
     contexts = build_contexts(
         library, refs, projection, params.max_reference_conformers,
@@ -72,6 +73,16 @@ def score_library(
     return fuse(queries, moments, fits, params)
 
 
+def _referenced_targets(conformers: DataFrame, refs: DataFrame, fits: bool) -> DataFrame:
+    """Rows of targets with references; a short list becomes a filter that prunes folders."""
+    if fits:
+        names = pc.unique(refs.select("target_id").toArrow().column(0)).to_pylist()
+        if len(names) <= FILTER_IDS:
+            return conformers.where(F.col("target_id").isin(names))
+    wanted, fits = pin(refs.select("target_id").distinct(), 64, "scored-targets")
+    return attach(conformers, wanted, ["target_id"], fits, ["parent_pos", "pose_idx"])
+
+
 def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int | None = None) -> DataFrame:
     """Random walk states (target_id, seed, k, parent_pos, walk); absent ones are 0."""
     graph = build_graph(

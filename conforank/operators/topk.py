@@ -7,7 +7,8 @@ The largest group a task sees is two blocks, however large a target is.
 
 With n vectors of d dimensions in a target and b = n / side blocks, each vector is
 sent b times and n * b * k candidates are merged. Blocks are therefore as large as
-BLOCK_BYTES allows. The number of products stays n^2 / 2, as the result is exact.
+BLOCK_BYTES allows. All n^2 products are formed, as the result is exact; a pair of
+blocks is multiplied once per direction so that only a strip is held at a time.
 """
 
 from __future__ import annotations

@@ -7,7 +7,6 @@ from conforank.operators import means, whitening
 from conforank.sources import cache
 
 import oracle
-from conforank.catalog import views
 
 
 def library(spark, sizes=(40, 25), width=4, seed=0):

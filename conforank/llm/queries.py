@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .line_dedup import dedup_lines
+from .substring_dedup import dedup_sentence_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -27,3 +28,9 @@ def register(oracle: str | None = None):
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register(sql.SUBSTRING_DEDUP)
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = dedup_sentence_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -12,3 +12,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id
 """
+
+SUBSTRING_DEDUP = r"""
+WITH pieces AS (
+  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS p, len(s) AS total FROM (
+    SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''),
+      '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), '(\n)([^\n])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s
+    FROM documents)),
+keyed AS (SELECT doc_id, p, regexp_replace(translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g') AS k FROM pieces),
+units AS (SELECT doc_id, p, k, len(string_split(k, ' ')) AS w,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY p) AS u FROM keyed WHERE k <> ''),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY u) AS upto FROM units),
+ends AS (SELECT a.doc_id, a.u, min(b.u) AS e FROM summed a JOIN summed b
+         ON a.doc_id = b.doc_id AND b.u BETWEEN a.u + 1 AND a.u + 9 AND b.upto - a.upto + a.w >= 10 GROUP BY ALL),
+runs AS (SELECT e.doc_id, e.u, min(x.p) AS first, max(x.p) AS last, string_agg(x.k, chr(2) ORDER BY x.u) AS k
+         FROM ends e JOIN units x ON x.doc_id = e.doc_id AND x.u BETWEEN e.u AND e.e GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, first) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS p FROM later)
+SELECT p.doc_id, CASE WHEN max(p.total) = 1 AND max(p.s) = '' THEN 0 ELSE max(p.total) END AS n_sentences,
+       count(g.p) AS n_removed,
+       sha256(coalesce(string_agg(p.s, '' ORDER BY p.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
+FROM pieces p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.p = g.p GROUP BY p.doc_id
+"""

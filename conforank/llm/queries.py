@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .line_dedup import dedup_lines
+from .quality import judge_quality
 from .substring_dedup import dedup_sentence_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +35,8 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_sentence_runs(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register()
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")

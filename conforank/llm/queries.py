@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from .common import table
 from .line_dedup import dedup_lines
 from .quality import judge_quality
 from .substring_dedup import dedup_sentence_runs
+from .token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -40,3 +42,9 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
+
+
+@register()
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .line_dedup import dedup_lines
+from .pieces import encode_pieces
 from .quality import judge_quality
 from .substring_dedup import dedup_sentence_runs
 from .token_count import count_tokens
@@ -44,6 +45,12 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
 
 
+@register()
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

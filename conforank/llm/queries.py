@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .language import held_out, identify_language, train_language
 from .line_dedup import dedup_lines
 from .pieces import encode_pieces
 from .quality import judge_quality
@@ -51,6 +52,13 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@register()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train_language(docs.where(~F.col("held_out")))
+    return identify_language(docs, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 @register()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

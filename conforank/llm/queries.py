@@ -16,6 +16,7 @@ from .pieces import encode_pieces
 from .quality import judge_quality
 from .substring_dedup import dedup_sentence_runs
 from .token_count import count_tokens
+from .toxicity import score_toxicity, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -46,6 +47,14 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
 
 
+@register()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    model = train_toxicity(docs, labels)
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @register()
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -32,24 +32,26 @@ def _runs(sentences: Column, min_sentences: int, min_words: int) -> Column:
         lambda u: u["h"].isNotNull(),
     )
 
-    def found(u: Column) -> Column:
+    lengths = range(min_sentences, max(min_sentences, min_words) + 1)
+
+    def found(h: Column, w: Column, p: Column) -> Column:
         def run(i: Column, n: int) -> Column:
-            words = sum((F.get(u["w"], i + j) for j in range(1, n)), F.get(u["w"], i))
-            part = F.slice(u["h"], i + 1, n)
+            words = sum((F.get(w, i + j) for j in range(1, n)), F.get(w, i))
+            part = F.slice(h, i + 1, n)
             return F.when(
                 words >= min_words,
                 F.struct(
-                    F.get(u["p"], i).alias("first"),
-                    F.get(u["p"], i + (n - 1)).alias("last"),
+                    F.get(p, i).alias("first"),
+                    F.get(p, i + (n - 1)).alias("last"),
                     F.xxhash64(part).alias("key"),
                     F.hash(part).alias("key2"),
                 ),
             )
 
-        lengths = range(min_sentences, max(min_sentences, min_words) + 1)
-        return F.filter(F.transform(u, lambda _, i: F.coalesce(*[run(i, n) for n in lengths])), lambda r: r.isNotNull())
+        return F.filter(F.transform(h, lambda _, i: F.coalesce(*[run(i, n) for n in lengths])), lambda r: r.isNotNull())
 
-    return let(units, found)
+    # Each field becomes an array of its own once; taken from the structs at every use it would be built anew.
+    return let(units, lambda u: let(u["h"], lambda h: let(u["w"], lambda w: let(u["p"], lambda p: found(h, w, p)))))
 
 
 def dedup_sentence_runs(docs: DataFrame, min_sentences: int = 2, min_words: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .html_text import extract_pages
 from .language import held_out, identify_language, train_language
 from .line_dedup import dedup_lines
 from .pieces import encode_pieces
@@ -42,6 +43,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@register()
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @register()
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")

@@ -19,7 +19,7 @@ from .vocabulary import WordVectors, small_batches
 #: The kernel counts common subsequences of three characters within ``SPAN`` positions; each
 #: character inside the span that is left out costs a factor ``DECAY``. Its cosine is
 #: raised to ``POWER``.
-SPAN, DECAY, POWER = 7, 0.6, 2
+SPAN, DECAY, POWER = 7, 0.6, 3
 #: Subsequences are hashed to so many features.
 FEATURES = 1 << 20
 LANDMARKS, CANDIDATES, GRAMS = 120, 600, 300
@@ -28,7 +28,7 @@ LEAST_SHARE = 0.02
 #: About so many documents of each class, and sentences of each class, are learned from.
 PER_CLASS, SENTENCES = 2000, 12_000
 #: Margins beyond this are taken as sure; rounds of picking the telling token of a sentence.
-MARGIN, ROUNDS = 4.0, 3
+MARGIN, ROUNDS = 6.0, 3
 #: Characters that may be put into an insult; copies with one of them are learned from too.
 FILLERS = "xqj170"
 #: The highest sentences of a text that decide together.

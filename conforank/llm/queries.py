@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .html_text import extract_pages
+from .jaccard import near_duplicate_groups
 from .language import held_out, identify_language, train_language
 from .line_dedup import dedup_lines
 from .pieces import encode_pieces
@@ -53,6 +54,11 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).drop("lang", "source")
 
 
+@register()
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @register()
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))

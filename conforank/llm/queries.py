@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .decontaminate import find_items
 from .html_text import extract_pages
 from .jaccard import near_duplicate_groups
 from .language import held_out, identify_language, train_language
@@ -38,6 +39,12 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@register()
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return find_items(docs, table(spark, folder, "benchmark"))
+
+
 @register(sql.SUBSTRING_DEDUP)
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_sentence_runs(table(spark, folder, "documents").select("doc_id", "text"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import write_table
 from .common import ascii_words
 from .jaccard import _MIX, WORDS, _mixed
 
@@ -207,6 +208,6 @@ def find_items(docs: DataFrame, items: DataFrame, num: int = 75, den: int = 100)
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id has no finding (a null id goes by itself), columns unchanged."""
-    hits = find_items(docs, items).select(F.col("doc_id").alias("_hit")).distinct()
+    """Rows of ``docs`` whose id has no finding, columns unchanged. Rows without an id go together."""
+    hits = write_table(find_items(docs, items).select(F.col("doc_id").alias("_hit")).distinct(), "items-found")
     return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,6 +279,29 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id. Columns unchanged.
+
+    Rows that share an id are one document, of which the row with the smallest text hash stays.
+    Rows without an id always stay, as nothing tells them apart.
+    """
+    groups = near_duplicate_groups(docs.select("doc_id", "text"))
+    groups = write_table(groups, "jaccard-groups")
+    named = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    marks = named.agg(F.count(F.lit(1)).alias("rows"), F.min((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    gone = write_table(marks.where("first = 0").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = marks.where("rows > 1 AND first = 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return left
+    again = write_table(again, "jaccard-repeated")
+    once = left.join(again, left["doc_id"] == F.col("_again"), "left_anti")
+    more = left.join(again, left["doc_id"] == F.col("_again"), "left_semi")
+    picked = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    more = more.withColumn("_place", F.row_number().over(picked)).where("_place = 1").drop("_place")
+    return once.unionByName(more)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """``pairs`` (a, b) of nodes with ``linked``, each by the whole texts of one document of both."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key")

@@ -255,8 +255,11 @@ def _medians(rows: DataFrame, values: dict[str, Column], prefix: str) -> DataFra
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, columns unchanged."""
+    """Rows of ``docs`` that the rules keep, columns unchanged.
+
+    A document goes by its id: of rows that share one, all go if one is rejected (rows without
+    an id count as sharing it).
+    """
     verdicts = judge_quality(docs.select("doc_id", "text", "lang", "source"))
-    # A document is kept or goes by its id; of rows that share an id, all go if one is rejected.
-    bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = write_table(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "quality-rejected")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")

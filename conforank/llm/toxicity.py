@@ -26,7 +26,9 @@ LANDMARKS, CANDIDATES, GRAMS = 120, 600, 300
 #: Sentences, as a share of toxic documents, that an n-gram must be in at least to tell them apart.
 LEAST_SHARE = 0.02
 #: About so many documents of each class, and sentences of each class, are learned from.
-PER_CLASS, SENTENCES = 2000, 12_000
+PER_CLASS, SENTENCES = 2000, 5_000
+#: Tokens whose kernel values are computed at once.
+TOKENS = 4_000
 #: Margins beyond this are taken as sure; rounds of picking the telling token of a sentence.
 MARGIN, ROUNDS = 6.0, 3
 #: Characters that may be put into an insult; copies with one of them are learned from too.
@@ -89,8 +91,8 @@ class Landmarks:
     def kernel(self, tokens: list[str]) -> np.ndarray:
         """Kernel value (a power of the cosine of subsequences) of each token with each landmark."""
         out = np.zeros((len(tokens), len(self.tokens)), np.float32)
-        for start in range(0, len(tokens), 20_000):
-            owner, feature, weight = subsequences(tokens[start : start + 20_000])
+        for start in range(0, len(tokens), TOKENS):
+            owner, feature, weight = subsequences(tokens[start : start + TOKENS])
             row = self.row[feature]
             hit = np.flatnonzero(row)
             if len(hit):
@@ -143,15 +145,16 @@ class ToxicityModel:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss on weighted rows, by Newton steps on the active ones."""
-    wide = np.concatenate([x, np.ones((len(x), 1))], 1)
+    wide = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     ridge = penalty * np.eye(wide.shape[1])
     w = np.zeros(wide.shape[1])
     for _ in range(steps):
         inside = y * (wide @ w) < 1
         if not inside.any():
             break
-        part = wide[inside] * weight[inside, None]
-        new = np.linalg.solve(part.T @ wide[inside] + ridge, part.T @ y[inside])
+        some = wide[inside].astype(float)
+        part = some * weight[inside, None]
+        new = np.linalg.solve(part.T @ some + ridge, part.T @ y[inside])
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
@@ -308,7 +311,7 @@ def _fit(sentences: list[tuple[list[str], int]], told, least: float) -> Toxicity
     marks = Landmarks(_spread(first(often), LANDMARKS * 2 // 3) + _spread(first(common), LANDMARKS // 3))
     values, vectors = np.linalg.eigh(marks.kernel(marks.tokens).astype(float))
     half = vectors / np.sqrt(np.maximum(values, 1e-2))  # Nystrom: the features are kernel values @ half
-    features = lambda tokens: marks.kernel(tokens).astype(float) @ half
+    features = lambda tokens: marks.kernel(tokens) @ half.astype(np.float32)
     clean = np.concatenate([features(good), features(_filled(good[::4]))])
     pool = sorted({t for tokens in bad for t in tokens})
     place = {t: i for i, t in enumerate(pool)}

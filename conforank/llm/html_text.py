@@ -157,6 +157,8 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     for start in range(0, len(html), CHUNK):
         parser.feed(html[start : start + CHUNK])
+    # A tag that the page breaks off in is markup, not text.
+    parser.rawdata = re.sub(r"<[A-Za-z/!?][^>]*$", "", parser.rawdata)
     parser.close()
     parser.flush()
     blocks = parser.blocks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -16,10 +17,15 @@ from ..storage import pin, write_table
 from .common import BATCH_ROWS, LOWER_MAP, ascii_words
 
 WORDS = 5
-#: Tokens in the hash prefixes of more than so many sets are of the frequent class; at most so
+#: Tokens that begin the hash order of more than so many sets are of the frequent class; at most so
 #: many are (the most frequent), 8 bytes each on every executor. Any choice gives the same result.
 FREQUENT, MOST_FREQUENT = 32, 500_000
+#: The class goes by the upper 40 bits of a token, which take less room to count.
+CLASS_SHIFT = np.uint64(24)
+#: Counters of a set's sketch.
+SKETCH = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 % 2**64 | 1 for i in range(WORDS)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -29,28 +35,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, the same in every process; remembered up to a bound."""
+    """word -> 64-bit hash of it with A-Z lower-cased, the same in every process; remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = xxhash.xxh64_intdigest(word.translate(LOWER_MAP).encode("utf-8", "surrogatepass"))
         if len(self) >= 1_000_000:
             self.clear()
         self[word] = value
         return value
 
 
+@functools.cache
+def word_hashes() -> WordHashes:
+    """One for each Python worker, over all its tasks."""
+    return WordHashes()
+
+
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; fewer words are one shingle, none give none."""
-    words = ascii_words(text.translate(LOWER_MAP) if not text.isascii() else text.lower()) if text else []
+    words = ascii_words(text) if text else []
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
     one = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     width = min(n, WORDS)
+    # Weights that depend on the place, then one mix: cheap, and words in another order differ.
     out = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
-        out = _mixed(out * _MIX + one[i : n - width + 1 + i])
-    return np.unique(out)
+        out += one[i : n - width + 1 + i] * _PLACES[i]
+    out = _mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) > 1 else out
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -58,6 +73,26 @@ def set_key(shingles: np.ndarray) -> int:
     return int(_mixed(shingles ^ _MIX).sum(dtype=np.uint64).astype(np.int64)) if len(shingles) else 0
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Tokens in each of ``SKETCH`` hash buckets, as bytes; 255 stands for that many or more."""
+    counts = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _may_link(a: Column, b: Column, na: Column, nb: Column, num: int, den: int) -> Column:
+    """False only for sets that cannot be similar enough: buckets bound what two sets share."""
+
+    @F.arrow_udf("boolean")
+    def bounded(xs: pa.Array, ys: pa.Array, ns: pa.Array, ms: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (xs, ys))
+        n, m = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (ns, ms))
+        most = np.where((x == 255) | (y == 255), 1 << 40, np.minimum(x, y)).sum(1)
+        most = np.minimum(most, np.minimum(n, m))
+        return pa.array(den * most >= num * (n + m - most))
+
+    return bounded(a, b, na, nb)
+
+
 def allowed(n: int, num: int, den: int) -> int:
     """Prefix length: one more than the tokens that a partner may lack."""
     return n - -(-n * num // den) + 1
@@ -67,8 +102,8 @@ def _size_class(n: int, num: int, den: int) -> int:
     return int(math.floor(math.log(n) / math.log(den / num) + 1e-9))
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of one set: linked sets share at least one.
+def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
+    """Signatures of one set, and whether they are plain tokens: linked sets share at least one.
 
     The global order is rare tokens by hash, then frequent ones by hash. If the prefix is all
     rare, each token is a signature. Otherwise frequent tokens are dealt to classes by hash and
@@ -79,10 +114,13 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -
     """
     n = len(shingles)
     need = allowed(n, num, den)
-    is_frequent = np.isin(shingles, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
+    is_frequent = np.zeros(n, bool)
+    if len(frequent):
+        kind = shingles >> CLASS_SHIFT
+        is_frequent = frequent[np.minimum(np.searchsorted(frequent, kind), len(frequent) - 1)] == kind
     rare, often = shingles[~is_frequent], shingles[is_frequent]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], True
     out = [rare]
     own = _size_class(n, num, den)
     for bucket in (own, own + 1):
@@ -101,60 +139,99 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -
             if not same.any():
                 break
             out.append(_mixed(part[:-gap][same] * _MIX + part[gap:][same] + np.uint64(bucket)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), False
 
 
 def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, n, key and the hash prefix of every document; a set's prefix comes once a task."""
+    """doc_id, n, key, sketch and first tokens of every document; those of a set come once a task.
+
+    Tokens are given past the prefix, because leaving out frequent ones moves its end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = word_hashes(), set()
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 piece = batch.slice(start, BATCH_ROWS)
-                ns, keys, lows = [], [], []
+                ns, keys, lows, sketches = [], [], [], []
                 for text in piece.column(1).to_pylist():
                     shingles = shingle_set(text, hashes)
                     n, key = len(shingles), set_key(shingles)
                     ns.append(n)
                     keys.append(key)
-                    lows.append(shingles[: allowed(n, num, den)].astype(np.int64) if n > 1 and (key, n) not in seen else None)
+                    fresh = n > 1 and (key, n) not in seen
+                    lows.append((shingles[: allowed(n, num, den) * 3 // 2 + 8] >> CLASS_SHIFT).astype(np.int64) if fresh else None)
+                    sketches.append(sketch(shingles) if fresh else None)
                     seen.add((key, n))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(lows, pa.list_(pa.int64()))],
-                    ["_id", "_hash", "_n", "_key", "_low"],
+                    [piece.column(0), piece.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(lows, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    ["_id", "_hash", "_n", "_key", "_low", "_sketch"],
                 )
 
     kind = docs.schema["_id"].dataType
     schema = T.StructType(
-        [T.StructField("_id", kind), *[T.StructField(c, T.LongType()) for c in ("_hash", "_n", "_key")], T.StructField("_low", T.ArrayType(T.LongType()))]
+        [T.StructField("_id", kind), *[T.StructField(c, T.LongType()) for c in ("_hash", "_n", "_key")], T.StructField("_low", T.ArrayType(T.LongType())), T.StructField("_sketch", T.BinaryType())]
     )
     return docs.mapInArrow(run, schema)
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """(sig, key, n) of every set, once a task."""
+def _signed(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(sig, key, n, plain) of every set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = word_hashes(), set()
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
-                sigs, keys, ns = [], [], []
+                sigs, sizes, found = [np.zeros(0, np.int64)], [0], [(0, 0, True)]
                 for text in batch.slice(start, BATCH_ROWS).column(1).to_pylist():
                     shingles = shingle_set(text, hashes)
                     n, key = len(shingles), set_key(shingles)
                     if n > 1 and (key, n) not in seen:
                         seen.add((key, n))
-                        sigs.append(signatures(shingles, frequent, num, den).astype(np.int64))
-                        keys.append(np.full(len(sigs[-1]), key))
-                        ns.append(np.full(len(sigs[-1]), n))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ns), pa.int32())],
-                        ["sig", "key", "n"],
-                    )
+                        some, plain = signatures(shingles, frequent, num, den)
+                        sigs.append(some.astype(np.int64))
+                        sizes.append(len(some))
+                        found.append((key, n, plain))
+                key, n, plain = (np.repeat(np.array(c), sizes) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sigs)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(plain.astype(bool))],
+                    ["sig", "key", "n", "plain"],
+                )
 
-    return docs.mapInArrow(run, "sig long, key long, n int")
+    return docs.mapInArrow(run, "sig long, key long, n int, plain boolean")
+
+
+def _postings(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(sig, key, n, plain) of each set that is not the smallest of its signature, with the smallest: p_key, p_n, p_plain.
+
+    Signatures of a single set, most of them, leave no row. One sort by signature; running
+    windows hold a row at a time, so the size of a group does not matter.
+    """
+    order = Window.partitionBy("sig").orderBy("n", "key")
+    rows = _signed(docs, frequent, num, den)
+    rows = rows.withColumns(
+        {
+            "_p": F.first(F.struct("key", "n", "plain")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "_again": F.coalesce((F.lag("key").over(order) == F.col("key")) & (F.lag("n").over(order) == F.col("n")), F.lit(False)),
+        }
+    )
+    other = (F.col("key") != F.col("_p.key")) | (F.col("n") != F.col("_p.n"))
+    return rows.where(~F.col("_again") & other).select(
+        "sig", "key", "n", "plain", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("key", "n", "plain")]
+    )
+
+
+def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, na, pa, b, nb, pb) that share enough signatures, once each.
+
+    Of two plain sets, shared tokens outside the prefixes are at most what one of them has there;
+    the rest of the least overlap must be among their common signatures.
+    """
+    fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+    counted = pairs.where(fits).groupBy("a", "na", "pa", "b", "nb", "pb").count()
+    overlap = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")).cast("long") / F.lit(num + den) - 1e-9)
+    outside = F.ceil(F.greatest("na", "nb").cast("long") * num / F.lit(den) - 1e-9) - 1
+    return counted.where(~(F.col("pa") & F.col("pb")) | (F.col("count") >= overlap - outside)).select("a", "b")
 
 
 def _linked(a: Column, b: Column, key: Column, num: int, den: int) -> Column:
@@ -162,7 +239,7 @@ def _linked(a: Column, b: Column, key: Column, num: int, den: int) -> Column:
 
     @F.arrow_udf("boolean")
     def verify(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         last, kept = None, np.zeros(0, np.uint64)
         for xs, ys, keys in batches:
             out = []
@@ -219,7 +296,8 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     are first compared with the smallest only; verified links are joined to components, and then
     just the pairs of different components are compared. A group of thousands of near copies so
     costs pairs in proportion to its size, not to its square, and a passage that many documents
-    share is of the frequent class and no signature of theirs. Sizes filter pairs beforehand.
+    share is of the frequent class and no signature of theirs. Sizes, the number of common
+    signatures and counts of tokens in hash buckets filter pairs beforehand, without losing a link.
 
     Null and empty texts, and texts without a word, have 0 shingles and are alone. Repeated rows
     of an id are each returned, in the group of their id. ``component_id`` is the smallest id of
@@ -240,31 +318,34 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     most = tokens.where(F.col("level") >= level) if level else tokens.limit(0)
     frequent = np.sort(most.select("token").toArrow()["token"].to_numpy().astype(np.int64).astype(np.uint64))
 
-    rows = _postings(texts, frequent, num, den).repartition("sig")
-    shared = rows.groupBy("sig").agg(F.min("key").alias("_least"), F.max("key").alias("_most")).where("_least <> _most")
-    postings = write_table(rows.join(shared.select("sig"), "sig").distinct(), "jaccard-postings")
-
-    size_fits = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & ~((F.col("a") == F.col("b")) & (F.col("na") == F.col("nb")))
-    nodes = write_table(sets.where("_n > 0").groupBy("_key", "_n").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("_r")).select(F.xxhash64("_key", "_n").alias("key"), F.col("_r._id").alias("rep"), F.col("_r._hash").alias("rep_hash")), "jaccard-nodes")
-    node = lambda key, n: F.xxhash64(key, F.col(n).cast("long"))
-
-    pivot = postings.groupBy("sig").agg(F.min(F.struct("n", "key")).alias("_p"))
-    pairs = postings.join(pivot, "sig").select(
-        F.col("_p.key").alias("a"), F.col("_p.n").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb")
+    node = lambda key, n: F.xxhash64(F.col(key), F.col(n).cast("long"))
+    postings = _postings(texts, frequent, num, den).select(
+        "sig", node("key", "n").alias("key"), "n", "plain", node("p_key", "p_n").alias("p_key"), "p_n", "p_plain"
+    )
+    postings = write_table(postings, "jaccard-postings")
+    nodes = sets.where("_n > 0").groupBy("_key", "_n").agg(
+        F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("_r"), F.max("_sketch").alias("sketch")
     )
-    pairs = pairs.where(size_fits).select(node("a", "na").alias("a"), node("b", "nb").alias("b")).distinct()
-    done = _verified(write_table(pairs, "jaccard-pairs"), nodes, docs, num, den)
+    nodes = nodes.select(
+        node("_key", "_n").alias("key"), F.col("_n").alias("n"), "sketch", F.col("_r._id").alias("rep"), F.col("_r._hash").alias("rep_hash")
+    )
+    nodes = write_table(nodes, "jaccard-nodes")
+    sides = lambda *c: [F.col(x).alias(y) for x, y in zip(c, ("a", "na", "pa", "b", "nb", "pb"))]
+    stars = _possible(postings.select(*sides("p_key", "p_n", "p_plain", "key", "n", "plain")), num, den)
+    done = _verified(_bounded(stars, nodes, num, den), nodes, docs, num, den)
     comps = write_table(components(nodes, done.where("linked")), "jaccard-components")
 
-    labelled = postings.select("sig", node("key", "n").alias("key"), "n").join(comps, "key")
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("sig")
-    left = write_table(labelled.join(mixed, "sig"), "jaccard-left")
-    x, y = (left.select("sig", *[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "comp")]) for s in "ab")
-    rest = x.join(y, "sig").where("compa < compb").select(F.col("keya").alias("a"), F.col("na"), F.col("keyb").alias("b"), F.col("nb"))
-    rest = rest.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = write_table(rest.join(known, ["a", "b"], "left_anti"), "jaccard-rest")
+    # Members of a signature that are still in different components, its smallest set included.
+    smallest = postings.select("sig", F.col("p_key").alias("key"), F.col("p_n").alias("n"), F.col("p_plain").alias("plain")).distinct()
+    members = postings.select("sig", "key", "n", "plain").unionByName(smallest).join(comps, "key")
+    mixed = members.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("sig")
+    left = write_table(members.join(mixed, "sig"), "jaccard-left")
+    x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "plain", "comp")]) for s in "xy")
+    rest = x.join(y, "sig").where("comp_x < comp_y")
+    rest = _possible(rest.select(*sides("key_x", "n_x", "plain_x", "key_y", "n_y", "plain_y")), num, den)
+    known = done.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    rest = rest.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+    rest = _bounded(rest, nodes, num, den)
     links = done.where("linked").select("a", "b")
     if not rest.isEmpty():
         more = _verified(rest, nodes, docs, num, den)
@@ -302,6 +383,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return once.unionByName(more)
 
 
+def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, b) without those whose sketches rule a link out."""
+    of = lambda s: nodes.select(F.col("key").alias(s), F.col("n").alias(f"_n{s}"), F.col("sketch").alias(f"_s{s}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    kept = met.where(_may_link(F.col("_sa"), F.col("_sb"), F.col("_na"), F.col("_nb"), num, den))
+    return write_table(kept.select("a", "b"), "jaccard-pairs")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """``pairs`` (a, b) of nodes with ``linked``, each by the whole texts of one document of both."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key")

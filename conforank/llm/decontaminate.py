@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..storage import write_table
 from .common import ascii_words
-from .jaccard import _MIX, WORDS, _mixed
+from .jaccard import _PLACES, WORDS, _mixed
 
 #: Fingerprints of 64 bits in eight blocks of eight: within ``RADIUS`` at least one block differs
 #: in at most one bit, which the index looks up.
@@ -41,6 +42,12 @@ class PlainHashes(dict):
         return value
 
 
+@functools.cache
+def plain_hashes() -> PlainHashes:
+    """One for each Python worker, over all its tasks."""
+    return PlainHashes()
+
+
 def shingles_of(text: str | None, hashes: PlainHashes) -> np.ndarray:
     """Hashes of the 5-word shingles in order; empty under five words."""
     words = ascii_words(text) if text else []
@@ -50,8 +57,8 @@ def shingles_of(text: str | None, hashes: PlainHashes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(one) - WORDS + 1, np.uint64)
     for i in range(WORDS):
-        out = _mixed(out * _MIX + one[i : len(one) - WORDS + 1 + i])
-    return out
+        out += one[i : len(one) - WORDS + 1 + i] * _PLACES[i]
+    return _mixed(out)
 
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
@@ -190,7 +197,7 @@ def find_items(docs: DataFrame, items: DataFrame, num: int = 75, den: int = 100)
         shared = spark.sparkContext.broadcast(ItemIndex(rows["item_id"].to_pylist(), rows["text"].to_pylist(), weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, hashes = shared.value, PlainHashes()
+            index, hashes = shared.value, plain_hashes()
             for batch in batches:
                 out: list[tuple] = []
                 for at in range(batch.num_rows):

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, doubles, l2_normalize, scale, zscore
 from ..operators import graph as g
 from ..operators import means, metrics, ranking, references, similarity, splits, topk, whitening
-from ..operators.encoding import encode_molecules
 from ..plans import scoring
 from ..plans.benchmark import evaluate
 from ..schema import EPISODE_KEY
 from ..sources import cache, tables
 from ..storage import write_table
 from . import duck, views
+from .roundtrips import ENTRIES
 from .views import PARAMS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,12 +388,6 @@ def collision_check(spark, sf):
     return references.collisions(views.molecules(spark, sf), pool)
 
 
-@register(None)
-def sample_labeled(spark, sf):
-    """Seeded shuffle of the generator in Python's standard library; rows only."""
-    return references.sample_labeled(views.labels(spark, sf), "T0", 3, 7)
-
-
 @register(duck.sql(BASE, "SELECT target_id, seed, k, ref_order, parent_id FROM refs"))
 def first_actives(spark, sf):
     return views.references(spark, sf)
@@ -420,7 +414,10 @@ def _vec_id():
 
 
 @register(
-    duck.sql(BASE, f"SELECT target_id, parent_pos, parent_id, count(*) OVER (PARTITION BY parent_pos) AS n_conf, pose_idx, {duck.r6('v[1]', 'x')} FROM base")
+    long_sql(
+        [*BASE, ("counted", "SELECT *, count(*) OVER (PARTITION BY parent_pos) AS n_conf FROM base")],
+        "counted", "target_id, parent_pos, parent_id, n_conf, pose_idx",
+    )
 )
 def range_gather(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), "embedding")
@@ -429,9 +426,8 @@ def range_gather(spark, sf):
         F.min("row_id").alias("row_start"), F.count(F.lit(1)).alias("n_conf")
     )
     got = cache.gather_ranges(vectors, write_table(ranges, "ranges"))
-    return got.withColumn("x", F.col("embedding")[0].cast("double")).select(
-        "target_id", "parent_pos", "parent_id", "n_conf", "pose_idx", six("x")
-    )
+    whole = got.withColumn("embedding", doubles("embedding"))
+    return long(whole, ["target_id", "parent_pos", "parent_id", "n_conf", "pose_idx"], "embedding")
 
 
 @register(duck.sql(BASE, "SELECT DISTINCT parent_id FROM base"))
@@ -573,34 +569,6 @@ REGISTRY["evaluate_series"] = (
 REGISTRY["evaluate_candidates"] = (_evaluation("ave", np.eye(64)), _evaluation_sql("ave", duck.IDENTITY))
 
 
-# -- encoding -----------------------------------------------------------------------
-
-
-class TextShapes:
-    """Stand-in toolkit: one shape per started thousand characters, five at most."""
-
-    def conformers(self, parent_id, smiles, count, seed):
-        return [(len(smiles), n) for n in range(min(count, 1 + len(smiles) // 1000))]
+# -- readers, writers and checks ----------------------------------------------------
 
-
-class ShapeEncoder:
-    def encode(self, shapes):
-        return np.array([[size, number, size % 97] for size, number in shapes], dtype=np.float32)
-
-
-@register(
-    """SELECT doc_id AS parent_pos, 'doc_' || doc_id AS parent_id, least(5, 1 + length(text) // 1000)::BIGINT AS n_conf,
-       pose_idx::INT AS pose_idx, length(text)::DOUBLE AS x0, pose_idx::DOUBLE AS x1, (length(text) % 97)::DOUBLE AS x2
-       FROM (SELECT doc_id, text, unnest(range(least(5, 1 + length(text) // 1000))) AS pose_idx FROM documents)"""
-)
-def encode_library(spark, sf):
-    """The encoding pipeline with stand-in toolkit and encoder over whole texts."""
-    molecules = spark.read.parquet(f"{sf}/documents.parquet").select(
-        F.col("doc_id").alias("parent_pos"), F.format_string("doc_%d", "doc_id").alias("parent_id"),
-        F.col("text").alias("canonical_smiles"),
-    )
-    rows = encode_molecules(molecules, TextShapes, ShapeEncoder, conformers=5)
-    return rows.select(
-        "parent_pos", "parent_id", "n_conf", "pose_idx",
-        *[F.col("embedding")[n].cast("double").alias(f"x{n}") for n in range(3)],
-    )
+REGISTRY |= ENTRIES

@@ -15,7 +15,7 @@ def flat_array(column) -> pa.Array:
 
 
 def to_matrix(column) -> np.ndarray:
-    """List column of equal lengths to a float64 matrix."""
+    """List column of equal lengths and finite values to a float64 matrix."""
     column = flat_array(column)
     values = column.flatten().to_numpy(zero_copy_only=False)
     if len(column) == 0:
@@ -24,6 +24,8 @@ def to_matrix(column) -> np.ndarray:
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     if rest or (sizes != width).any():
         raise ValueError("embedding widths differ within the library")
+    if not np.isfinite(values).all():
+        raise ValueError("vectors must be finite")
     return values.reshape(len(column), width).astype(np.float64)
 
 

@@ -65,15 +65,22 @@ def check_references(refs: DataFrame, molecules: DataFrame) -> None:
         raise ValueError("at least one reference is needed")
     key = ["target_id", "parent_id"]
     # Library rows are narrowed to referenced ones first, which needs no shuffle of them.
-    found = molecules.select(*key).join(refs.select(*key).distinct(), key, "left_semi").distinct()
+    found = molecules.select(*key, "parent_pos").join(refs.select(*key).distinct(), key, "left_semi")
+    found = found.groupBy(*key).agg(F.count_distinct("parent_pos").alias("places"))
     uses = refs.groupBy(*EPISODE_KEY, "parent_id").count()
-    checked = uses.join(found.withColumn("found", F.lit(True)), key, "left")
-    bad = checked.where("count > 1 or found is null").select("parent_id", "found").limit(5).collect()
-    absent = [r["parent_id"] for r in bad if not r["found"]]
-    if absent:
-        raise KeyError(f"references not in the library: {', '.join(absent)}")
-    if bad:
-        raise ValueError(f"reference IDs must be unique: {', '.join(r['parent_id'] for r in bad)}")
+    problem = (
+        F.when(F.col("places").isNull(), "absent").when(F.col("count") > 1, "repeated").when(F.col("places") > 1, "ambiguous")
+    )
+    bad = uses.join(found, key, "left").withColumn("problem", problem).where("problem is not null")
+    # Up to five IDs of each kind, so that the kind reported does not depend on the order of rows.
+    kinds = bad.groupBy("problem").agg(F.slice(F.array_sort(F.collect_set("parent_id")), 1, 5).alias("ids"))
+    found_bad = {r["problem"]: ", ".join(r["ids"]) for r in kinds.collect()}
+    if "absent" in found_bad:
+        raise KeyError(f"references not in the library: {found_bad['absent']}")
+    if "repeated" in found_bad:
+        raise ValueError(f"reference IDs must be unique: {found_bad['repeated']}")
+    if "ambiguous" in found_bad:
+        raise ValueError(f"library IDs must be unique: {found_bad['ambiguous']}")
 
 
 def validate_pool(pool: DataFrame) -> None:

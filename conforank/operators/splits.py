@@ -87,7 +87,7 @@ def member_counts(members: DataFrame, labels: DataFrame, split: str) -> DataFram
         F.count_if("visible").alias("visible_count"),
         F.count_if(ranked).alias("candidate_count"),
         F.count_if(positive).alias("positive_count"),
-        (F.count_if(ranked) - F.count_if(positive)).alias("negative_count"),
+        F.count_if(ranked & (F.col("label") == 0)).alias("negative_count"),
         excluded.alias("excluded_count"),
     )
 

@@ -145,7 +145,7 @@ def knn(
     if k < 0:
         raise ValueError("the number of neighbours must not be negative")
     spark = centers.sparkSession
-    side = side or _side_of(centers, "center")
+    side = _checked(side or _side_of(centers, "center"))
     sizes, fits = sizes or library_sizes(centers)
     sizes = sizes.select(
         "target_id", _block_count(F.col("n"), side, spark.sparkContext.defaultParallelism).alias("blocks")
@@ -166,6 +166,12 @@ def knn(
     return _merge(hits, k)
 
 
+def _checked(side: int) -> int:
+    if not 1 <= side <= 1 << COLUMN_BITS:
+        raise ValueError(f"a block takes 1 to {1 << COLUMN_BITS} vectors")
+    return side
+
+
 def _side_of(df: DataFrame, column: str) -> int:
     row = df.select(F.size(column)).first()
     return block_side(row[0] if row else 1)
@@ -173,7 +179,7 @@ def _side_of(df: DataFrame, column: str) -> int:
 
 def topk_between(queries: DataFrame, data: DataFrame, k: int, side: int | None = None) -> DataFrame:
     """Best k of ``data`` for each of ``queries``, both (target_id, pos, vec) of unit length."""
-    side = side or _side_of(data, "vec")
+    side = _checked(side or _side_of(data, "vec"))
 
     def sized(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("target_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).cast("int").alias(name))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +41,12 @@ def score_episodes(
 
 
 def check_ranked(scores: DataFrame, members: DataFrame) -> None:
-    """The scored molecules are exactly the ranked ones."""
+    """The rows that are returned are exactly the molecules to rank, once each."""
     keys = [*EPISODE_KEY, "parent_id"]
     ranked = members.where("ranked").select(*keys, F.lit(1).alias("wanted"))
-    both = ranked.join(scores.select(*keys, F.lit(1).alias("made")), keys, "full")
+    both = ranked.join(scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("made")), keys, "full")
     reject_if_any(
-        both.where("wanted is null or made is null"), RuntimeError,
+        both.where("wanted is null or made is null or made <> 1"), RuntimeError,
         "scored molecules differ from the split", F.concat_ws("/", *[F.col(c).cast("string") for c in keys]),
     )
 
@@ -60,8 +58,11 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked scores with labels, and one summary row per episode.
 
-    ``episodes`` as read by ``read_episodes``. Labels meet the scores only after ranking.
+    ``episodes`` as read by ``read_episodes``. Labels meet the scores only after ranking;
+    a molecule of these targets without exactly one label is an error.
     """
+    seen = episodes.select("target_id").distinct()
+    store.validate_labels(molecules.join(seen, "target_id", "left_semi"), labels)
     refs = tables.episode_references(episodes)
     check_references(refs, molecules)
     members = splits.episode_members(molecules, refs, split, series, candidates)
@@ -70,10 +71,10 @@ def evaluate(
     counts, _ = pin(splits.member_counts(members, labels, split), 128, "member-counts")
     splits.reconcile(counts, episodes)
     scores = score_episodes(conformers, refs, members, split, params, projection)
-    check_ranked(scores, members)
-    labelled = scores.join(labels.select("target_id", "parent_id", "label"), ["target_id", "parent_id"])
+    labelled = scores.join(labels.select("target_id", "parent_id", "label"), ["target_id", "parent_id"], "left")
     largest = counts.agg(F.max("candidate_count")).first()[0]
     ranked = write_table(rank_rows(labelled, EPISODE_KEY, largest_group=largest), "ranked")
+    check_ranked(ranked, members)
     measured = metrics.screening_metrics(ranked, EPISODE_KEY)
     summary = (
         episodes.select(*EPISODE_KEY, "support_parent_ids", F.size("support_parent_ids").alias("support_count"))
@@ -113,6 +114,7 @@ def run_benchmark(
             store.read_labels(spark, f"{root}/{cache}"),
         )
     )
+    store.validate_library(molecules, conformers)
     projection = store.read_whitener(spark, f"{root}/{whitener}")
     scores, summary = evaluate(
         conformers, molecules, labels, episodes, split, params, projection, series, candidates
@@ -128,20 +130,9 @@ def run_benchmark(
 
 
 def report(summary: DataFrame, seed: int) -> None:
-    """Print one line per episode and the mean over targets per K."""
-    # One row per episode: a report, streamed and never held as a whole.
-    for row in summary.orderBy("target_id", "k").toLocalIterator():
-        values = " ".join(f"{m}={row[m]:.6g}" for m in metrics.METRICS)
-        print(
-            f"{row['target_id']} seed={row['seed']} K={row['k']}"
-            f" references={json.dumps(list(row['support_parent_ids']))}"
-            f" candidates={row['candidate_count']} positives={row['positive_count']}"
-            f" negatives={row['negative_count']} excluded={row['excluded_count']} {values}",
-            flush=True,
-        )
-    sizes = {r["k"]: r["n"] for r in summary.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    means = {(r["k"], r["metric"]): (r["mean"], r["std"]) for r in metrics.macro_summary(summary, ["k"]).collect()}
-    for k in sorted(sizes):
-        print(f"\nMean over targets (seed={seed}, K={k}, targets={sizes[k]})")
-        for m in metrics.METRICS:
-            print(f"{m:>14} {means[k, m][0]:.6f} {means[k, m][1]:.6f}")
+    """One JSON line for each episode, then one for each K with the means over its targets."""
+    for line in summary.orderBy("target_id", "k").toJSON().toLocalIterator():
+        print(line, flush=True)
+    means = metrics.macro_summary(summary, ["k"]).withColumn("seed", F.lit(seed))
+    for line in means.orderBy("k", "metric").toJSON().toLocalIterator():
+        print(line, flush=True)

@@ -38,6 +38,7 @@ def infer(
     if library_size == 0:
         raise KeyError(f"target {target} is not in the cache")
     library = store.read_conformers(spark, cache, target)
+    store.validate_library(molecules, library)
     if sample is not None:
         mode = FROM_LABELS
         refs = sample_labeled(store.read_labels(spark, cache), target, sample, seed)

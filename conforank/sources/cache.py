@@ -86,9 +86,47 @@ def validate_cache(spark: SparkSession, path: str) -> None:
 
 
 def validate_labels(molecules: DataFrame, labels: DataFrame) -> None:
+    """Every molecule has exactly one label, 0 or 1. One join, one answer."""
     keys = ["target_id", "parent_id"]
-    missing = molecules.join(labels, keys, "left_anti").select("parent_id")
-    reject_if_any(missing, ValueError, "molecules without a label", F.col("parent_id"))
+    given = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("given"), F.count_if(F.col("label").isin(0, 1)).alias("valid"))
+    bad = label_violations(molecules.select(*keys).distinct().join(given, keys, "left"))
+    reject_if_any(bad, ValueError, "labels are missing, repeated or not 0 or 1", F.concat_ws(" ", "parent_id", "problem"))
+
+
+def label_violations(counted: DataFrame) -> DataFrame:
+    """Rows of (..., given, valid) that break the rule, with ``problem``."""
+    problem = (
+        F.when(F.coalesce("given", F.lit(0)) == 0, "missing")
+        .when(F.col("given") > 1, "repeated")
+        .when(F.col("valid") == 0, "invalid")
+    )
+    return counted.withColumn("problem", problem).where("problem is not null")
+
+
+def library_violations(molecules: DataFrame, conformers: DataFrame) -> DataFrame:
+    """(target_id, parent_id, problem) where index and vectors disagree or an ID occurs twice."""
+    key = ["target_id", "parent_id"]
+    ids = molecules.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"), F.max("n_conf").alias("n"), F.max("parent_pos").alias("pos"))
+    stored = conformers.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("parent_pos").alias("places"), F.max("parent_pos").alias("at")
+    )
+    problem = (
+        F.when(F.col("uses").isNull(), "not in the index")
+        .when(F.col("rows").isNull(), "no vectors")
+        .when((F.col("uses") > 1) | (F.col("places") > 1), "repeated ID")
+        .when((F.col("n") < 1) | (F.col("n") != F.col("rows")) | (F.col("pos") != F.col("at")), "counts differ")
+    )
+    both = ids.join(stored, key, "full").withColumn("problem", problem)
+    return both.where("problem is not null").select(*key, "problem")
+
+
+def validate_library(molecules: DataFrame, conformers: DataFrame) -> None:
+    """Index and vectors agree, IDs occur once, and all vectors are equally wide."""
+    bad = library_violations(molecules, conformers)
+    reject_if_any(bad, ValueError, "the library is inconsistent", F.concat_ws(" ", "parent_id", "problem"))
+    widths = conformers.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if widths["low"] != widths["high"]:
+        raise ValueError(f"vector widths range from {widths['low']} to {widths['high']}")
 
 
 def gather_ranges(vectors: DataFrame, ranges: DataFrame) -> DataFrame:

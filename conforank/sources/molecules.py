@@ -6,12 +6,11 @@ from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import number_rows
 from ..schema import need_columns, reject_duplicates, reject_if_any
-from ..storage import write_table
+from ..storage import pin, write_table
 from .tables import file_ordered, read_csv
 
 FORMATS = (".csv", ".sdf", ".mol")
@@ -37,13 +36,33 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = read_csv(spark, path, ordered=True)
     smiles = "canonical_smiles" if "canonical_smiles" in raw.columns else "smiles"
     need_columns(raw, ["parent_molecule_id", smiles], "molecule table")
-    return number_rows(
-        raw.select(
-            F.trim(F.coalesce("parent_molecule_id", F.lit(""))).alias("parent_id"),
-            F.trim(F.coalesce(smiles, F.lit(""))).alias("structure"), "line",
-        ),
-        [F.col("line")], "parent_pos",
-    ).drop("line")
+    rows = raw.select(
+        F.trim(F.coalesce("parent_molecule_id", F.lit(""))).alias("parent_id"),
+        F.trim(F.coalesce(smiles, F.lit(""))).alias("structure"), "line",
+    )
+    return number_lines(rows, "parent_pos").drop("line")
+
+
+def number_lines(rows: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file scan from 0 in file order; no row moves to another task.
+
+    Each split of a file is a run of rows within a task. Its rows are counted, and it starts
+    where the splits before it end.
+    """
+    placed = rows.withColumns(
+        {
+            "_part": F.shiftright("line.row", 33), "_file": F.col("line.file"), "_start": F.col("line.start"),
+            "_row": F.col("line.row"),
+        }
+    )
+    split = ["_part", "_file", "_start"]
+    sizes = placed.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first"))
+    # One row for each split of the input, which the driver has planned itself.
+    before = Window.orderBy("_file", "_start", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    starts, fits = pin(sizes.select(*split, shift.alias("_shift")), 512, "line-starts")
+    met = placed.join(F.broadcast(starts) if fits else starts, split)
+    return met.withColumn(name, F.col("_row") + F.col("_shift")).drop(*split, "_row", "_shift")
 
 
 def _read_blocks(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -51,7 +70,7 @@ def _read_blocks(spark: SparkSession, path: str, suffix: str) -> DataFrame:
         raw = spark.read.text(str(path), wholetext=True).select("value", F.lit(0).cast("bigint").alias("parent_pos"))
     else:
         records = file_ordered(spark.read.option("lineSep", "$$$$").text(str(path)))
-        raw = number_rows(records, [F.col("line")], "parent_pos")
+        raw = number_lines(records, "parent_pos")
         # Each record but the first starts with the end of the separator line.
         rest = F.regexp_replace("value", r"^\r?\n", "")
         raw = raw.withColumn("value", F.when(F.col("parent_pos") > 0, rest).otherwise(F.col("value")))

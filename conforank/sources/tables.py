@@ -10,7 +10,7 @@ from ..schema import EPISODE_KEY, need_columns, reject_if_any
 
 def read_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """CSV with a header, all columns strings; ``ordered`` adds the file order."""
-    df = spark.read.csv(str(path), header=True, quote='"', escape='"')
+    df = spark.read.csv(str(path), header=True, quote='"', escape='"', multiLine=True)
     return file_ordered(df) if ordered else df
 
 
@@ -72,7 +72,9 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     """Series assignments (target_id, parent_id, series_id, line) in file order."""
     raw = read_csv(spark, path, ordered=True)
     need_columns(raw, ["target_id", "parent_molecule_id", "series_id"], "series table")
-    return raw.select("target_id", F.col("parent_molecule_id").alias("parent_id"), "series_id", "line")
+    # An empty cell is a series of its own name, not a missing one.
+    series = F.coalesce("series_id", F.lit("")).alias("series_id")
+    return raw.select("target_id", F.col("parent_molecule_id").alias("parent_id"), series, "line")
 
 
 def smi_fields(value: Column) -> Column:

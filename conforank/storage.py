@@ -62,11 +62,12 @@ def pin(df: DataFrame, row_bytes: int, name: str, limit: int = BROADCAST_BYTES):
     """Evaluate a table expected to be small.
 
     Returns ``(table, fits)``. When at most ``limit / row_bytes`` rows come back
-    the table is a local relation and may be broadcast; otherwise it is written.
+    and no more than ``limit`` bytes, the table is a local relation and may be broadcast;
+    otherwise it is written.
     """
     most = max(1, limit // row_bytes)
     rows = df.limit(most + 1).toArrow()
-    if rows.num_rows <= most:
+    if rows.num_rows <= most and rows.nbytes <= limit:
         return df.sparkSession.createDataFrame(rows, schema=df.schema), True
     return write_table(df, name), False
 

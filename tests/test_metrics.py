@@ -105,3 +105,25 @@ def test_ranks(spark, window_rows):
     many = spark.range(500).repartition(9)
     numbered = number_rows(many, [F.desc("id")], "n", window_rows=window_rows).toPandas()
     assert np.array_equal(numbered["n"], 499 - numbered["id"])
+
+
+def test_labels_must_be_complete(spark):
+    from conforank.sources import cache
+
+    molecules = spark.createDataFrame([("T", "a"), ("T", "b")], "target_id string, parent_id string")
+    given = lambda *rows: spark.createDataFrame([("T", *r) for r in rows], "target_id string, parent_id string, label int")
+    cache.validate_labels(molecules, given(("a", 1), ("b", 0), ("c", 5)))
+    for rows in ([("a", 1)], [("a", 1), ("b", 0), ("b", 0)], [("a", 1), ("b", 2)], [("a", 1), ("b", None)]):
+        with pytest.raises(ValueError, match="labels"):
+            cache.validate_labels(molecules, given(*rows))
+
+
+def test_vectors_must_be_finite():
+    import pyarrow as pa
+
+    from conforank.functions.arrow import to_matrix
+
+    assert to_matrix(pa.array([[1.0, 2.0]])).shape == (1, 2)
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="finite"):
+            to_matrix(pa.array([[1.0, bad]]))

@@ -19,7 +19,7 @@ from .vocabulary import WordVectors, small_batches
 #: The kernel counts common subsequences of three characters within ``SPAN`` positions; each
 #: character inside the span that is left out costs a factor ``DECAY``. Its cosine is
 #: raised to ``POWER``.
-SPAN, DECAY, POWER = 7, 0.6, 3
+SPAN, DECAY, POWER = 5, 0.5, 3
 #: Subsequences are hashed to so many features.
 FEATURES = 1 << 20
 LANDMARKS, CANDIDATES, GRAMS = 120, 600, 300

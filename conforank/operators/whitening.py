@@ -15,14 +15,14 @@ from ..storage import attach, pin, write_table
 from .means import balanced_means, molecule_means
 
 # The projection and everything of its shape is held on the driver and broadcast.
-MAX_WIDTH = 4096
+MATRIX_BYTES = 1 << 30
 # Targets whose moment matrices one task keeps before emitting them.
 OPEN_TARGETS = 16
 
 
 def check_width(width: int) -> int:
-    if width > MAX_WIDTH:
-        raise ValueError(f"vectors of {width} dimensions exceed the supported {MAX_WIDTH}")
+    if 8 * width * width > MATRIX_BYTES:
+        raise ValueError(f"a {width} x {width} matrix takes more than the {MATRIX_BYTES} bytes the driver may hold (MATRIX_BYTES)")
     return width
 
 
@@ -150,7 +150,7 @@ def projection_from(cov: DataFrame, shrinkage: float, eps: float) -> np.ndarray:
 
 
 def from_long(table: DataFrame, value: str) -> np.ndarray:
-    """Collect a d x d table (i, j, value); its size is bounded by MAX_WIDTH."""
+    """Collect a d x d table (i, j, value); its size is bounded by MATRIX_BYTES."""
     rows = table.select("i", "j", value).toArrow()
     i, j = rows.column("i").to_numpy(), rows.column("j").to_numpy()
     width = check_width(int(max(i.max(), j.max())) + 1) if rows.num_rows else 0

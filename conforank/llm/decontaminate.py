@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..storage import write_table
 from .common import ascii_words
-from .jaccard import _PLACES, WORDS, _mixed
+from .jaccard import _PLACES, CACHE_WORDS, WORDS, _mixed
 
 #: Fingerprints of 64 bits in eight blocks of eight: within ``RADIUS`` at least one block differs
 #: in at most one bit, which the index looks up.
@@ -36,7 +36,7 @@ class PlainHashes(dict):
             end -= 1
         plain = plain[start:end]
         value = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
-        if len(self) >= 1_000_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = value
         return value

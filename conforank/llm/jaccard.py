@@ -22,6 +22,8 @@ WORDS = 5
 FREQUENT, MOST_FREQUENT = 32, 500_000
 #: The class goes by the upper 40 bits of a token, which take less room to count.
 CLASS_SHIFT = np.uint64(24)
+#: Words whose hashes a worker remembers; workers keep them over stages, so the bound is low.
+CACHE_WORDS = 250_000
 #: Counters of a set's sketch.
 SKETCH = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -39,7 +41,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.translate(LOWER_MAP).encode("utf-8", "surrogatepass"))
-        if len(self) >= 1_000_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = value
         return value

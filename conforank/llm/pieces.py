@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters encoded at once; a longer text is a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Segments and piece pairs that a worker remembers, and the longest segment kept.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 1_000_000, 2_000_000, 64
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 600_000, 1_000_000, 64
 NORMAL, BYTE = 1, 6
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 

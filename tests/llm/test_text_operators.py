@@ -224,7 +224,7 @@ def test_decontamination(spark):
     items = [(i, " ".join(word() for _ in range(rng.integers(6, 60)))) for i in range(40)]
     items += [(50, None), (51, ""), (52, "too short"), (3, items[3][1])]
     rows = []
-    for i in range(60):
+    for i in range(120):
         words = [word() for _ in range(rng.integers(0, 120))]
         if i % 2:
             passage = items[i % 40][1].split()

@@ -19,7 +19,7 @@ from .vocabulary import WordVectors, small_batches
 #: The kernel counts common subsequences of three characters within ``SPAN`` positions; each
 #: character inside the span that is left out costs a factor ``DECAY``. Its cosine is
 #: raised to ``POWER``.
-SPAN, DECAY, POWER = 5, 0.5, 3
+SPAN, DECAY, POWER = 7, 0.6, 3
 #: Subsequences are hashed to so many features.
 FEATURES = 1 << 20
 LANDMARKS, CANDIDATES, GRAMS = 120, 600, 300
@@ -82,24 +82,26 @@ class Landmarks:
     def __init__(self, tokens: list[str]):
         self.tokens = tokens
         owner, feature, weight = subsequences(tokens)
-        used, place = np.unique(feature, return_inverse=True)
-        self.row = np.zeros(FEATURES, np.int32)
-        self.row[used] = np.arange(1, len(used) + 1)
-        self.table = np.zeros((len(used) + 1, len(tokens)), np.float32)
-        np.add.at(self.table, (place + 1, owner), weight)
+        # Few landmarks have a feature: (landmark, weight) entries of the features stand one after the other.
+        both, place = np.unique(feature * len(tokens) + owner, return_inverse=True)
+        self.mark, self.value = both % len(tokens), np.bincount(place, weight)
+        used, self.first, self.many = np.unique(both // len(tokens), return_index=True, return_counts=True)
+        self.row = np.full(FEATURES, -1, np.int32)
+        self.row[used] = np.arange(len(used))
 
     def kernel(self, tokens: list[str]) -> np.ndarray:
         """Kernel value (a power of the cosine of subsequences) of each token with each landmark."""
-        out = np.zeros((len(tokens), len(self.tokens)), np.float32)
+        marks = len(self.tokens)
+        out = np.zeros((len(tokens), marks), np.float32)
         for start in range(0, len(tokens), TOKENS):
-            owner, feature, weight = subsequences(tokens[start : start + TOKENS])
+            some = tokens[start : start + TOKENS]
+            owner, feature, weight = subsequences(some)
             row = self.row[feature]
-            hit = np.flatnonzero(row)
-            if len(hit):
-                hit = hit[np.argsort(owner[hit], kind="stable")]
-                mine = owner[hit]
-                first = np.flatnonzero(np.diff(mine, prepend=-1))
-                out[start + mine[first]] = np.add.reduceat(weight[hit, None].astype(np.float32) * self.table[row[hit]], first, axis=0)
+            hit = np.flatnonzero(row >= 0)
+            many = self.many[row[hit]]
+            entry = np.repeat(self.first[row[hit]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cell = np.repeat(owner[hit] * marks, many) + self.mark[entry]
+            out[start : start + len(some)] = np.bincount(cell, np.repeat(weight[hit], many) * self.value[entry], len(some) * marks).reshape(-1, marks)
         return out**POWER
 
 

@@ -94,6 +94,25 @@ def test_toxicity(spark):
     assert toxicity.train_toxicity(frame(spark, rows).limit(0), table) is None
 
 
+@pytest.mark.parametrize("filler", ["x", "7", "xq", "70"])
+def test_toxicity_kernel_sees_through_fillers(filler):
+    insults = ["moron", "idiot", "scumbag", "worthless"]
+    marks = toxicity.Landmarks(insults)
+    # Letters that fillers part share triples of letters with the plain insult, not only its beginning.
+    got = marks.kernel([filler.join(t[1:]) for t in insults])
+    assert (np.diag(got) > 0).all()
+    for i, t in enumerate(insults):
+        feature = {k: set(f.tolist()) for k, (_, f, _) in ((x, toxicity.subsequences([x])) for x in (t, filler.join(t)))}
+        triples = {int(toxicity.subsequences([t[j : j + 3]])[1][1]) for j in range(len(t) - 2)}
+        assert triples <= feature[t] and triples <= feature[filler.join(t)]
+    # The sparse sums are the cosine of the subsequences.
+    dense = np.zeros((2, len(insults) + 1, toxicity.FEATURES))
+    words = [*insults, "mo7ron"]
+    owner, feature, weight = toxicity.subsequences(words)
+    np.add.at(dense[0], (owner, feature), weight)
+    assert np.allclose(marks.kernel(words), (dense[0] @ dense[0][:-1].T) ** toxicity.POWER, atol=1e-6)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "encoding"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters encoded at once; a longer text is a batch of its own.
 BATCH_CHARS = 2_000_000
+#: Rows decoded at once.
+DECODE_ROWS = 500
 #: Segments and piece pairs that a worker remembers, and the longest segment kept.
 CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 600_000, 1_000_000, 64
 NORMAL, BYTE = 1, 6
@@ -257,6 +260,17 @@ class PieceCodec:
         whole = b"".join(map(self._piece_bytes.__getitem__, ids.tolist()))
         return whole.decode("utf-8", "replace").removeprefix(" ")
 
+    def decode_batch(self, lists: pa.ListArray) -> list[str]:
+        """Text of each array of identifiers, as ``decode`` gives it; null gives the empty text."""
+        whole = pa.array(self._piece_bytes, pa.large_binary()).take(lists.values)
+        _, ends, data = whole.buffers()
+        if not len(whole):
+            return [""] * len(lists)
+        ends = np.frombuffer(ends, np.int64, len(whole) + 1, 8 * whole.offset)
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        data, there = memoryview(data), lists.is_valid().to_pylist()
+        return [str(data[a:b], "utf-8", "replace").removeprefix(" ") if t else "" for a, b, t in zip(cuts, cuts[1:], there)]
+
 
 @functools.cache
 def codec(path: str) -> PieceCodec:
@@ -264,6 +278,13 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def _lists(encodings: Iterable[bytes]) -> pa.ListArray:
+    packed = list(encodings)
+    ends = np.cumsum([0, *[len(x) // 4 for x in packed]], dtype=np.int64)
+    values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
 def encoded(text: Column, path: str) -> Column:
     """Identifiers of each text (array of int; null and empty texts have none)."""
 
@@ -271,10 +292,7 @@ def encoded(text: Column, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = codec(path)
         for texts in batches:
-            packed = list(coder.encode(x.as_py() or "" for x in texts))
-            ends = np.cumsum([0, *[len(x) // 4 for x in packed]], dtype=np.int64)
-            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+            yield _lists(coder.encode(x.as_py() or "" for x in texts))
 
     return encode(text)
 
@@ -286,7 +304,7 @@ def decoded(ids: Column, path: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = codec(path)
         for lists in batches:
-            yield pa.array([coder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in lists], pa.string())
+            yield pa.array(coder.decode_batch(lists), pa.string())
 
     return decode(ids)
 
@@ -301,3 +319,37 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     """
     out = docs.withColumn("ids", encoded(F.col("text"), path)).drop("text")
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+def encoded_and_decoded(text: Column, path: str) -> Column:
+    """Identifiers of each text, SHA-256 of what they decode to, and whether that is the text.
+
+    One worker does both, so a task holds one codec; only identifiers reach the decoder.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded_sha256 string, round_trip boolean")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = codec(path)
+        for texts in batches:
+            lists = _lists(coder.encode(x.as_py() or "" for x in texts))
+            hashes, same = [], []
+            for start in range(0, len(texts), DECODE_ROWS):
+                back = coder.decode_batch(lists.slice(start, DECODE_ROWS))
+                hashes += [hashlib.sha256(b.encode()).hexdigest() for b in back]
+                same += [b == (x.as_py() or "") for b, x in zip(back, texts.slice(start, DECODE_ROWS))]
+            yield pa.StructArray.from_arrays(
+                [lists, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "round_trip"]
+            )
+
+    return both(text)
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """``encode_pieces`` with ``decoded_sha256`` of the text decoded from ``ids`` and ``round_trip``, its equality with ``text``.
+
+    Null texts come back empty, which counts as equal. The character that stands for spaces in
+    pieces comes back as a space, as from the library; such texts are not equal.
+    """
+    out = docs.withColumn("_both", encoded_and_decoded(F.col("text"), path)).drop("text")
+    out = out.withColumns({c: F.col(f"_both.{c}") for c in ("ids", "decoded_sha256", "round_trip")}).drop("_both")
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))

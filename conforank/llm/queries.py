@@ -16,7 +16,7 @@ from .html_text import extract_pages
 from .jaccard import near_duplicate_groups
 from .language import held_out, identify_language, train_language
 from .line_dedup import dedup_lines
-from .pieces import encode_pieces
+from .pieces import encode_and_decode
 from .quality import judge_quality
 from .substring_dedup import dedup_sentence_runs
 from .token_count import count_tokens
@@ -78,7 +78,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @register()

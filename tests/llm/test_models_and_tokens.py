@@ -1,9 +1,11 @@
 """Learned operators by held-out accuracy, tokenizers against their libraries, and the pipeline."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conforank.llm import language, pieces, token_count, toxicity
+from conforank.llm.queries import REGISTRY
 from test_text_operators import frame, odd_rows
 
 ODD = list("abcABC'sdtm 019  \n\t\x0b\x0c\r\x1c\x85\xa0ÉéÏßΣσς日本İıǅ½²٣é̇.,!?-_#$ﬁ😀​　́Å") + ["the", "ing", "<|endoftext|>", "<s>", "<0x0A>", " " * 13]
@@ -56,6 +59,26 @@ def test_pieces(spark):
     assert pieces.encode_pieces(frame(spark, rows).limit(0), path).count() == 0
 
 
+def test_pieces_query_decodes(spark, sf, tmp_path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [*odd_rows(), (200, "a▁b"), *((300 + i, t) for i, t in enumerate(fuzz(200)))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = REGISTRY["op8_sentencepiece"][0](spark, str(tmp_path)).collect()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert sorted((repr(r.doc_id), r.decoded_sha256) for r in got) == sorted((repr(i), sha((t or "").replace("▁", " "))) for i, t in rows)
+    assert all(r.decoded_sha256 == sha(library.decode(r.ids)) and r.n_tokens == len(r.ids) for r in got)
+    assert [r.doc_id for r in got if not r.round_trip] == [200]
+    assert all(r.round_trip for r in REGISTRY["op8_sentencepiece"][0](spark, sf).collect())
+    # Identifiers that no text has: broken bytes, control pieces, slices of a batch.
+    coder = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    strange = [None, [], [1, 2], [coder.bytes[200]], [coder.bytes[226], coder.ids["▁the"]], [0, coder.ids["▁"]]]
+    want = [coder.decode(np.array(x or [], int)) for x in strange]
+    lists = pa.array(strange, pa.list_(pa.int32()))
+    assert coder.decode_batch(lists) == want and coder.decode_batch(lists[2:]) == want[2:] and coder.decode_batch(lists[:2]) == want[:2]
+
+
 def test_language(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("held", language.held_out(F.col("doc_id")))

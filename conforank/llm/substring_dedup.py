@@ -12,10 +12,11 @@ from .line_dedup import without
 SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09-\x0D])|(?<=\n)(?=[^\n])"
 
 
-def _runs(sentences: Column, min_sentences: int, min_words: int) -> Column:
+def _runs(sentences: Column, min_sentences: int, min_words: int, alone_words: int | None) -> Column:
     """(first, last, key, key2) of the shortest sufficient run from each sentence on, null where there is none.
 
     A run needs at most max(min_sentences, min_words) sentences, as every sentence has a word.
+    Sentences of ``alone_words`` words are runs of their own besides.
     """
     units = F.filter(
         F.transform(
@@ -35,11 +36,11 @@ def _runs(sentences: Column, min_sentences: int, min_words: int) -> Column:
     lengths = range(min_sentences, max(min_sentences, min_words) + 1)
 
     def found(h: Column, w: Column, p: Column) -> Column:
-        def run(i: Column, n: int) -> Column:
+        def run(i: Column, n: int, least: int = min_words) -> Column:
             words = sum((F.get(w, i + j) for j in range(1, n)), F.get(w, i))
             part = F.slice(h, i + 1, n)
             return F.when(
-                words >= min_words,
+                words >= least,
                 F.struct(
                     F.get(p, i).alias("first"),
                     F.get(p, i + (n - 1)).alias("last"),
@@ -48,19 +49,25 @@ def _runs(sentences: Column, min_sentences: int, min_words: int) -> Column:
                 ),
             )
 
-        return F.filter(F.transform(h, lambda _, i: F.coalesce(*[run(i, n) for n in lengths])), lambda r: r.isNotNull())
+        runs = F.transform(h, lambda _, i: F.coalesce(*[run(i, n) for n in lengths]))
+        if alone_words is not None:
+            runs = F.concat(runs, F.transform(h, lambda _, i: run(i, 1, alone_words)))
+        return F.filter(runs, lambda r: r.isNotNull())
 
     # Each field becomes an array of its own once; taken from the structs at every use it would be built anew.
     return let(units, lambda u: let(u["h"], lambda h: let(u["w"], lambda w: let(u["p"], lambda p: found(h, w, p)))))
 
 
-def dedup_sentence_runs(docs: DataFrame, min_sentences: int = 2, min_words: int = 10) -> DataFrame:
+def dedup_sentence_runs(
+    docs: DataFrame, min_sentences: int = 2, min_words: int = 10, alone_words: int | None = None
+) -> DataFrame:
     """Remove every sentence covered by a run of sentences that occurred earlier in the corpus.
 
     Sentences end after ``. ! ?`` before white space and after line breaks; they are compared
     with A-Z lower-cased and white space as one space; sentences without a word are skipped.
     From every sentence slides the shortest run of at least ``min_sentences`` sentences and
-    ``min_words`` words. Of equal runs the one with the smallest (doc_id, hash of the text,
+    ``min_words`` words; with ``alone_words``, a sentence of so many words is a run by itself too.
+    Of equal runs the one with the smallest (doc_id, hash of the text,
     position) is the first and stays; all others lose their sentences. Returns the columns of
     ``docs`` with ``text`` shortened, ``n_sentences`` and ``n_removed``. What stays is unchanged,
     its own white space included.
@@ -75,7 +82,7 @@ def dedup_sentence_runs(docs: DataFrame, min_sentences: int = 2, min_words: int
     document lose all but the first place.
     """
     rows = carried(docs).withColumn("_sentences", F.split("_text", SENTENCE_END, -1))
-    runs = rows.select("_id", "_hash", F.explode(_runs(F.col("_sentences"), min_sentences, min_words)).alias("_r"))
+    runs = rows.select("_id", "_hash", F.explode(_runs(F.col("_sentences"), min_sentences, min_words, alone_words)).alias("_r"))
     runs = runs.select("_id", "_hash", *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("first", "last", "key", "key2")])
     often = runs.groupBy("_key", "_key2").count().where("count > 1").drop("count")
     again = runs.join(often, ["_key", "_key2"], "left_semi")

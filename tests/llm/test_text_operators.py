@@ -72,6 +72,17 @@ def test_sentence_runs(spark):
     assert substring_dedup.dedup_sentence_runs(twice).first().text.count("Seven") == 1
 
 
+def test_long_sentences_alone(spark):
+    long = " ".join(f"w{i}" for i in range(60)) + "."
+    rows = [(i, f"Before it number {i} stands. {long} After it number {i} comes. Short one.") for i in range(4)]
+    rows += [(10, "Opening of ten. " + "A b c d e f g h i j. Then k l m."), (11, "Other. " + "A b c d e f g h i j. Then k l m.")]
+    got = {r.doc_id: r for r in substring_dedup.dedup_sentence_runs(frame(spark, rows), alone_words=25).collect()}
+    assert [i for i in range(4) if long in got[i].text] == [0] and [got[i].n_removed for i in range(4)] == [0, 1, 1, 1]
+    assert got[10].n_removed == 0 and got[11].text == "Other."
+    by_sql = substring_dedup.dedup_sentence_runs(frame(spark, rows)).collect()  # the query's SQL wants two sentences
+    assert sorted((r.doc_id, r.n_removed) for r in by_sql) == [(0, 0), (1, 0), (2, 0), (3, 0), (10, 0), (11, 2)]
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op5_substring_dedup"])
 def test_query_equals_sql(spark, sf, name):
     run, sql = REGISTRY[name]

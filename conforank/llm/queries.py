@@ -18,6 +18,7 @@ from .language import held_out, identify_language, train_language
 from .line_dedup import dedup_lines
 from .pieces import encode_and_decode
 from .quality import judge_quality
+from .simhash import simhash_groups
 from .substring_dedup import dedup_sentence_runs
 from .token_count import count_tokens
 from .toxicity import score_toxicity, train_toxicity
@@ -94,6 +95,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@register()
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @register()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

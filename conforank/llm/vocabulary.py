@@ -39,12 +39,12 @@ class WordVectors:
         return [np.fromiter(map(find, x), np.int64, len(x)) for x in lists], self.rows
 
 
-def small_batches(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Lists of texts of about ``BATCH_CHARS`` characters; a longer text is a list of its own."""
+def small_batches(texts: Iterable[str], limit: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """Lists of texts of about ``limit`` characters; a longer text is a list of its own."""
     held: list[str] = []
     size = 0
     for text in texts:
-        if held and size + len(text) > BATCH_CHARS:
+        if held and size + len(text) > limit:
             yield held
             held, size = [], 0
         held.append(text)

@@ -23,6 +23,7 @@ from .simhash import simhash_groups
 from .substring_dedup import dedup_sentence_runs
 from .token_count import count_tokens
 from .toxicity import score_toxicity, train_toxicity
+from .trie import conversation_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -107,6 +108,11 @@ def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment_digests(docs, *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
 
 
+@register(sql.CONVERSATION_TRIE)
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 @register()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

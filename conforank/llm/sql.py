@@ -35,3 +35,39 @@ SELECT p.doc_id, CASE WHEN max(p.total) = 1 AND max(p.s) = '' THEN 0 ELSE max(p.
        sha256(coalesce(string_agg(p.s, '' ORDER BY p.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
 FROM pieces p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.p = g.p GROUP BY p.doc_id
 """
+
+CONVERSATION_TRIE = r"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+             lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+heads AS (SELECT ids.c, t.i AS pos, t.role, t.text FROM ids JOIN turns t ON t.c = ids.base AND t.i <= ids.h),
+taken AS (SELECT ids.c, ids.h, count(heads.pos) AS n FROM ids LEFT JOIN heads ON heads.c = ids.c GROUP BY ids.c, ids.h),
+built AS (
+  SELECT c, pos, role, text FROM heads UNION ALL
+  SELECT t.c, t.i - k.h + k.n, t.role, t.text FROM turns t JOIN taken k ON k.c = t.c WHERE t.i > k.h),
+paths AS (
+  SELECT c, pos, length(text) AS n_chars, string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+           OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path FROM built
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+sized AS (SELECT *, max(pos) OVER (PARTITION BY c) AS n, lag(path) OVER (PARTITION BY c ORDER BY pos) AS above FROM paths),
+nodes AS (
+  SELECT path, pos AS depth, min(c) AS conv_id, min(above) AS above, count(*) AS n_convs, max(n_chars) AS n_chars, max(n) > pos AS inner_node,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = pos), '') AS ends FROM sized GROUP BY path, pos),
+sums AS (
+  SELECT p.path, count(*) FILTER (WHERE NOT m.inner_node) AS n_leaves, sum((m.n_convs - 1) * m.n_chars) AS saved
+  FROM nodes m JOIN sized p ON p.c = m.conv_id AND p.pos <= m.depth GROUP BY p.path),
+children AS (SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(x.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN sums s ON s.path = x.path LEFT JOIN children k ON k.above = x.path
+LEFT JOIN nodes u ON x.depth > 0 AND u.path = x.above
+"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import write_table
 from .common import carried, restored
@@ -20,9 +23,7 @@ from .pieces import BYTE, NORMAL, read_pieces
 from .vocabulary import small_batches
 
 #: Texts encoded at once, in characters; a longer text is a batch of its own.
-BATCH_CHARS = 1_000_000
-#: Rows whose groups are handled at once.
-ROWS = 2_000
+BATCH_CHARS = 250_000
 #: Irregular pairs whose counts every executor holds, the most frequent ones: 16 bytes each. The
 #: others are joined by a shuffle; any number gives the same result.
 HELD_PAIRS = 500_000
@@ -62,20 +63,34 @@ class Pair:
                 (normal if kind == NORMAL else raw).setdefault(value, i)
         same = raw | normal
         self.same = np.array([same.get(value, -1) for value in self.bytes_a], np.int64)
+        ends = ((",", len(self.bytes_a)), ("|", len(self.bytes_a)), (",", len(self.bytes_b)), (";", len(self.bytes_b)))
+        self.decimals = pa.array([f"{i}{mark}" for mark, top in ends for i in range(top)], pa.large_binary())
+        self.spell_a, self.spell_b = (pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
         self.sizes_a, self.sizes_b = (np.array([len(v) for v in x], np.int64) for x in (self.bytes_a, self.bytes_b))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Identifiers of A (of a space and the text) and of B (of the text), both empty unless both spell a space and the text."""
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Flat identifiers and row ends of A (of a space and the text) and of B (of the text); rows that either does not spell have none."""
+        there = np.array([bool(t) for t in texts])
         some = [t for t in texts if t]
-        by_a = iter(self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False))
-        by_b = iter(self.b.encode(some, num_threads=1))
+        wanted = [b" " + t.encode() for t in some]
+        by_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
+        by_b = self.b.encode(some, num_threads=1)
+        sides = [(*_flat(by_a), self.spell_a), (*_flat(by_b), self.spell_b)]
+        good = np.ones(len(some), bool)
+        whole = b"".join(wanted)
+        for ids, ends, table in sides:
+            spelt = table.take(pa.array(ids))
+            _, places, data = spelt.buffers()
+            data = memoryview(data or b"").cast("B")  # compared as unsigned bytes
+            if data != whole:
+                at = np.frombuffer(places, np.int64, len(spelt) + 1)[ends].tolist()
+                good &= [data[i:j] == w for i, j, w in zip(at, at[1:], wanted)]
         out = []
-        for t in texts:
-            a, b = (next(by_a).ids, next(by_b)) if t else ([], [])
-            want = (" " + t).encode() if t else b""
-            spelt = (b"".join(map(table.__getitem__, x)) == want for x, table in ((a, self.bytes_a), (b, self.bytes_b)))
-            out.append((a, b) if all(spelt) else ([], []))
-        return [a for a, _ in out], [b for _, b in out]
+        for ids, ends, _ in sides:
+            n = np.zeros(len(texts), np.int64)
+            n[there] = np.where(good, np.diff(ends), 0)
+            out.append((ids[np.repeat(good, np.diff(ends))], np.concatenate([[0], np.cumsum(n)])))
+        return out[0], out[1]
 
 
 @functools.cache
@@ -86,66 +101,90 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
-
-
-def _cut(both: Pair, texts: list[str]) -> pa.StructArray:
-    a, b = both.encode(texts)
-    (ids_a, rows_a), (ids_b, rows_b) = _flat(a), _flat(b)
-    # Both sides spell the same bytes row by row, so ends over the whole batch compare.
-    ends_a, ends_b = np.cumsum(both.sizes_a[ids_a]), np.cumsum(both.sizes_b[ids_b])
-    mark = np.zeros((int(ends_a[-1]) if len(ends_a) else 0) + 1, np.uint8)
-    mark[ends_a] = 1
-    mark[ends_b] |= 2
-    cuts_a, cuts_b = np.flatnonzero(mark[ends_a] == 3), np.flatnonzero(mark[ends_b] == 3)
-    rows = np.searchsorted(cuts_a, rows_a, "left")
-    parts = [
-        _lists(ids_a, rows_a),
-        _lists(ids_b, rows_b),
-        _lists(np.diff(cuts_a, prepend=-1), rows),
-        _lists(np.diff(cuts_b, prepend=-1), rows),
-    ]
-    return pa.StructArray.from_arrays(parts, LISTS)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
+#: The groups of a text: identifiers of both sides, and how many of each a group has.
 LISTS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
-GROUPS = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
-
-
-def token_groups(text: Column, path_a: str, path_b: str) -> Column:
-    """Struct of ``a_ids``, ``b_ids`` and the numbers of both in each group, ``a_sizes`` and ``b_sizes``."""
-
-    @F.arrow_udf(GROUPS)
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        both = pair(path_a, path_b)
-        for texts in batches:
-            parts = [_cut(both, held) for held in small_batches((t.as_py() or "" for t in texts), BATCH_CHARS)]
-            yield pa.concat_arrays(parts) if parts else _cut(both, [])
-
-    return cut(text)
+#: Links of a text: A identifiers of one-to-one groups that the map gives, and packed pairs of all other groups.
+LINKS = ("regular", "irregular")
 
 
 class Groups:
-    """Groups of a batch of rows as flat arrays: identifiers, group sizes, and the row of each."""
+    """Groups of a batch of texts as flat arrays, each with the row ends within it."""
+
+    def __init__(self, both: Pair, texts: list[str]):
+        self.both = both
+        (self.a, rows_a), (self.b, rows_b) = both.encode(texts)
+        # Both sides spell the same bytes row by row, so ends over the whole batch compare.
+        ends_a, ends_b = np.cumsum(both.sizes_a[self.a]), np.cumsum(both.sizes_b[self.b])
+        mark = np.zeros((int(ends_a[-1]) if len(ends_a) else 0) + 1, np.uint8)
+        mark[ends_a] = 1
+        mark[ends_b] |= 2
+        self.last_a, self.last_b = np.flatnonzero(mark[ends_a] == 3), np.flatnonzero(mark[ends_b] == 3)
+        self.size_a, self.size_b = np.diff(self.last_a, prepend=-1), np.diff(self.last_b, prepend=-1)
+        rows = np.searchsorted(self.last_a, rows_a, "left")
+        self.ends = dict(zip(LISTS, (rows_a, rows_b, rows, rows)))
+
+    def lists(self) -> list[pa.ListArray]:
+        values = (self.a, self.b, self.size_a.astype(np.int32), self.size_b.astype(np.int32))
+        return [_lists(v, self.ends[c]) for v, c in zip(values, LISTS)]
+
+    def links(self) -> list[pa.ListArray]:
+        """The identifiers that end together, one link for each group, as ``LINKS``."""
+        a, b = self.a[self.last_a].astype(np.int64), self.b[self.last_b].astype(np.int64)
+        regular = (self.size_a == 1) & (self.size_b == 1) & (self.both.same[a] == b)
+        at = np.concatenate([[0], np.cumsum(regular)])[self.ends["a_sizes"]]
+        return [_lists(a[regular].astype(np.int32), at), _lists((a << 32 | b)[~regular], self.ends["a_sizes"] - at)]
+
+    def digests(self) -> list[pa.Array]:
+        """n_a, n_b, n_groups and the SHA-256 of the groups as text: ``a1,a2|b1;a3|b2,b3``; '' for rows without tokens."""
+        n, m = len(self.both.bytes_a), len(self.both.bytes_b)
+        of_a, of_b = (np.repeat(np.arange(len(s)), s) for s in (self.size_a, self.size_b))
+        before_b, upto_a = np.cumsum(self.size_b) - self.size_b, np.cumsum(self.size_a)
+        code_a, code_b = self.a.astype(np.int64), self.b + np.int64(2 * n)
+        code_a[self.last_a] += n
+        code_b[self.last_b] += m
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        code[np.arange(len(self.a)) + before_b[of_a]] = code_a
+        code[np.arange(len(self.b)) + upto_a[of_b]] = code_b
+        text = self.both.decimals.take(pa.array(code))
+        _, places, data = text.buffers()
+        rows = self.ends["a_ids"] + self.ends["b_ids"]
+        ends = np.frombuffer(places, np.int64, len(text) + 1)[rows].tolist() if len(text) else [0] * len(rows)
+        data = memoryview(data or b"")
+        hashed = [hashlib.sha256(data[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(ends, ends[1:])]
+        return [*(pa.array(np.diff(self.ends[c])) for c in LISTS[:3]), pa.array(hashed, pa.string())]
+
+
+def token_groups(rows: DataFrame, text: str, path_a: str, path_b: str, digests: bool = False) -> DataFrame:
+    """``rows`` with the column ``text`` replaced by the groups, or by their digests, and by the links."""
+    others = [c for c in rows.columns if c != text]
+    made = "n_a long, n_b long, n_groups long, groups_sha256 string" if digests else ", ".join(f"{c} array<int>" for c in LISTS)
+    kind = T._parse_datatype_string(f"{made}, regular array<int>, irregular array<long>")
+    names = [*others, *kind.names]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        both = pair(path_a, path_b)
+        for batch in batches:
+            at = 0
+            for texts in small_batches((t.as_py() or "" for t in batch.column(len(others))), BATCH_CHARS):
+                piece = batch.slice(at, len(texts))
+                groups = Groups(both, texts)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *(groups.digests() if digests else groups.lists()), *groups.links()], names)
+                at += len(texts)
 
-    def __init__(self, columns: list[pa.ListArray]):
-        flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        self.a, self.b, self.size_a, self.size_b = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in flat)
-        self.ends = [np.concatenate([[0], np.cumsum(np.array(c.value_lengths().fill_null(0)))]).astype(np.int64) for c in flat]
-        self.last_a, self.last_b = np.cumsum(self.size_a) - 1, np.cumsum(self.size_b) - 1
+    return rows.select(*others, text).mapInArrow(cut, T.StructType([rows.schema[c] for c in others] + kind.fields))
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The identifiers of A and B that end together, one link for each group."""
-        return self.a[self.last_a], self.b[self.last_b]
 
-    def regular(self, same: np.ndarray) -> np.ndarray:
-        """Groups of one token each whose identifiers the map of equal bytes gives."""
-        a, b = self.links()
-        return (self.size_a == 1) & (self.size_b == 1) & (same[a] == b)
+def _flat_rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists, and the row ends within them."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
 
 
 def pair_counts(groups: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -157,21 +196,17 @@ def pair_counts(groups: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(path_a, path_b)
-        vector = np.zeros(len(both.same), np.int64)
+        same = pair(path_a, path_b).same
+        vector = np.zeros(len(same), np.int64)
         names = ["a_id", "b_id", "n", "regular"]
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                g = Groups(batch.slice(start, ROWS).columns)
-                a, b = g.links()
-                regular = g.regular(both.same)
-                vector += np.bincount(a[regular], minlength=len(vector))
-                found, n = np.unique(a[~regular] << 32 | b[~regular], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((found >> 32).astype(np.int32)), pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n), pa.array(np.zeros(len(n), bool))], names)
+            vector += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(vector))
+            found, n = np.unique(batch.column(1).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((found >> 32).astype(np.int32)), pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n), pa.array(np.zeros(len(n), bool))], names)
         a = np.flatnonzero(vector)
-        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(both.same[a].astype(np.int32)), pa.array(vector[a]), pa.array(np.ones(len(a), bool))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(same[a].astype(np.int32)), pa.array(vector[a]), pa.array(np.ones(len(a), bool))], names)
 
-    counted = groups.select(*LISTS).mapInArrow(count, "a_id int, b_id int, n long, regular boolean")
+    counted = groups.select(*LINKS).mapInArrow(count, "a_id int, b_id int, n long, regular boolean")
     counted = write_table(counted.groupBy("a_id", "b_id", "regular").agg(F.sum("n").alias("n_links")), "align-counts")
     most = counted.groupBy("b_id").agg(F.max("n_links").alias("_most"))  # at most a row for each identifier of B
     out = counted.join(F.broadcast(most), "b_id")
@@ -197,48 +232,44 @@ def _held(counts: DataFrame, held_pairs: int) -> tuple[np.ndarray, int]:
 
 
 def score_links(groups: DataFrame, counts: DataFrame, path_a: str, path_b: str, held_pairs: int = HELD_PAIRS) -> DataFrame:
-    """n_links, n_best and count_sum of each row of ``groups``, beside its columns other than the groups; ``_row`` tells rows apart.
+    """n_links, n_best and count_sum of each row of ``groups``, in place of its links; ``_row`` tells rows apart.
 
     Counts of regular pairs are vectors over A's vocabulary and those of the most frequent
     irregular ones a sorted array, both broadcast and bounded; the remaining pairs of each row,
     the rare ones, are joined with their counts by a shuffle in which no key is frequent.
     """
-    same = pair(path_a, path_b).same
-    vector = np.zeros(len(same), np.int64)
+    vector = np.zeros(len(pair(path_a, path_b).same), np.int64)
     rows = counts.where("regular").toArrow()  # at most a row for each identifier of A
     vector[rows["a_id"].to_numpy()] = rows["n_links"].to_numpy() * 2 + rows["best"].to_numpy(zero_copy_only=False)
     held, lowest = _held(counts, held_pairs)
     sent = groups.sparkSession.sparkContext.broadcast((vector, held))
 
     @F.arrow_udf("n_links long, n_best long, count_sum long, rare array<long>")
-    def look(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        regular_value, (names, values) = sent.value
-        same = pair(path_a, path_b).same
-        for columns in batches:
-            done = []
-            for start in range(0, len(columns[0]), ROWS):
-                g = Groups([c.slice(start, ROWS) for c in columns])
-                a, b = g.links()
-                regular = g.regular(same)
-                value = np.where(regular, regular_value[a], 0)
-                packed = a << 32 | b
-                odd = np.flatnonzero(~regular)
-                at = np.searchsorted(names, packed[odd])
-                known = np.zeros(len(odd), bool)
-                if len(names):
-                    at = np.minimum(at, len(names) - 1)
-                    known = names[at] == packed[odd]
-                    value[odd[known]] = values[at[known]]
-                total = np.concatenate([[[0], [0]], np.cumsum(np.stack([value >> 1, value & 1]), axis=1)], axis=1)
-                ends = g.ends[2]
-                rare = odd[~known]
-                rare_ends = np.searchsorted(rare, ends).astype(np.int32)
-                parts = [np.diff(ends), np.diff(total[1][ends]), np.diff(total[0][ends])]
-                lists = pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(packed[rare]))
-                done.append(pa.StructArray.from_arrays([*map(pa.array, parts), lists], ["n_links", "n_best", "count_sum", "rare"]))
-            yield pa.concat_arrays(done)
-
-    scored = groups.withColumn("_s", look(*LISTS)).drop(*LISTS)
+    def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        vector, (names, values) = sent.value
+
+        def row_sums(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            """Links, best links and counts of each row."""
+            total = np.zeros((3, len(value) + 1), np.int64)
+            np.cumsum(np.stack([value > 0, value & 1, value >> 1]), axis=1, out=total[:, 1:])
+            return np.diff(total[:, ends], axis=1)
+
+        for regular, irregular in batches:
+            ids, id_ends = _flat_rows(regular)
+            pairs, pair_ends = _flat_rows(irregular)
+            at = np.searchsorted(names, pairs)
+            known = np.zeros(len(pairs), bool)
+            value = np.zeros(len(pairs), np.int64)
+            if len(names):
+                at = np.minimum(at, len(names) - 1)
+                known = names[at] == pairs
+                value[known] = values[at[known]]
+            sums = row_sums(vector[ids], id_ends) + row_sums(value, pair_ends)
+            sums[0] = np.diff(id_ends) + np.diff(pair_ends)
+            rare = _lists(pairs[~known], np.concatenate([[0], np.cumsum(~known)])[pair_ends])
+            yield pa.StructArray.from_arrays([*map(pa.array, sums), rare], ["n_links", "n_best", "count_sum", "rare"])
+
+    scored = groups.withColumn("_s", look(*LINKS)).drop(*LINKS)
     scored = write_table(scored.select("*", "_s.*").drop("_s"), "align-scored")
     rare = scored.select("_row", F.explode("rare").alias("_pair")).groupBy("_row", "_pair").agg(F.count(F.lit(1)).alias("_n"))
     level = F.floor(8 * F.log2("n_links"))
@@ -250,46 +281,12 @@ def score_links(groups: DataFrame, counts: DataFrame, path_a: str, path_b: str,
     return out.drop("_sum", "_best")
 
 
-def groups_sha256(a_ids: Column, b_ids: Column, a_sizes: Column, b_sizes: Column, path_a: str, path_b: str) -> Column:
-    """SHA-256 of the groups as text: ``a1,a2|b1;a3|b2,b3``; empty, and not hashed, for rows without tokens."""
-
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        both = pair(path_a, path_b)
-        n, m = len(both.bytes_a), len(both.bytes_b)
-        words = [f"{i}{mark}" for mark, top in ((",", n), ("|", n), (",", m), (";", m)) for i in range(top)]
-        words = pa.array(words, pa.large_binary())
-        for columns in batches:
-            out = []
-            for start in range(0, len(columns[0]), ROWS):
-                g = Groups([c.slice(start, ROWS) for c in columns])
-                of_a, of_b = (np.repeat(np.arange(len(s)), s) for s in (g.size_a, g.size_b))
-                before_b, upto_a = np.cumsum(g.size_b) - g.size_b, np.cumsum(g.size_a)
-                code_a, code_b = g.a.copy(), g.b + 2 * n
-                code_a[g.last_a] += n
-                code_b[g.last_b] += m
-                code = np.empty(len(g.a) + len(g.b), np.int64)
-                code[np.arange(len(g.a)) + before_b[of_a]] = code_a
-                code[np.arange(len(g.b)) + upto_a[of_b]] = code_b
-                text = words.take(pa.array(code))
-                _, places, data = text.buffers()
-                ends = np.frombuffer(places, np.int64, len(text) + 1)[g.ends[0] + g.ends[1]] if len(text) else np.zeros(len(g.ends[0]), np.int64)
-                data = memoryview(data) if len(text) else b""
-                ends = ends.tolist()
-                out += [hashlib.sha256(data[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(ends, ends[1:])]
-            yield pa.array(out, pa.string())
-
-    return digest(a_ids, b_ids, a_sizes, b_sizes)
-
-
-def _encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The group columns of each row with ``_row``, a number of its own, and ``_all``, its other columns; written."""
+def _encoded(docs: DataFrame, path_a: str, path_b: str, digests: bool) -> DataFrame:
+    """Groups or digests and links of each row with ``_row``, a number of its own, and ``_all``, its other columns; written."""
     rows = carried(docs).select(
-        F.monotonically_increasing_id().alias("_row"),
-        F.col("_all").dropFields("text").alias("_all"),
-        token_groups(F.col("_text"), path_a, path_b).alias("_g"),
+        F.monotonically_increasing_id().alias("_row"), F.col("_all").dropFields("text").alias("_all"), "_text"
     )
-    return write_table(rows.select("_row", "_all", "_g.*"), "align-groups")
+    return write_table(token_groups(rows, "_text", path_a, path_b, digests), "align-groups")
 
 
 def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, held_pairs: int = HELD_PAIRS) -> tuple[DataFrame, DataFrame]:
@@ -308,22 +305,18 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, held_pairs: int
     results, null ids like any other. A column named like a result is replaced. A very long text
     is a batch of its own, in memory in proportion to its length.
     """
-    rows = _encoded(docs, path_a, path_b)
+    rows = _encoded(docs, path_a, path_b, False)
     counts = write_table(pair_counts(rows, path_a, path_b), "align-pairs")
-    out = rows.join(score_links(rows.drop("_all"), counts, path_a, path_b, held_pairs), "_row")
+    out = rows.join(score_links(rows.select("_row", *LINKS), counts, path_a, path_b, held_pairs), "_row")
     return restored(out, docs.drop("text"), **{c: F.col(c) for c in (*LISTS, "n_links", "n_best", "count_sum")}), counts
 
 
 def alignment_digests(docs: DataFrame, path_a: str, path_b: str, held_pairs: int = HELD_PAIRS) -> DataFrame:
     """``align_tokenizers`` in figures: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and the hash of the groups.
 
-    The groups are hashed where they are scored, so no list of identifiers is shuffled.
+    The groups are hashed in the task that makes them, so no list of identifiers is written or shuffled.
     """
-    rows = _encoded(docs.select("doc_id", "text"), path_a, path_b)
+    rows = _encoded(docs.select("doc_id", "text"), path_a, path_b, True)
     counts = write_table(pair_counts(rows, path_a, path_b), "align-pairs")
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("a_sizes", "n_groups"))]
-    digest = groups_sha256(*map(F.col, LISTS), path_a, path_b)
-    rows = rows.select("_row", F.col("_all.doc_id").alias("doc_id"), *LISTS, *sizes, digest.alias("groups_sha256"))
-    return score_links(rows, counts, path_a, path_b, held_pairs).select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
-    )
+    scored = score_links(rows.withColumn("doc_id", F.col("_all.doc_id")).drop("_all"), counts, path_a, path_b, held_pairs)
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

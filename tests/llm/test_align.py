@@ -81,9 +81,7 @@ def strange_rows():
 
 
 @pytest.mark.parametrize("held", [0, 40, 500_000])
-def test_alignment_digests(spark, held, monkeypatch):
-    monkeypatch.setattr(align, "ROWS", 37)
-    monkeypatch.setattr(align, "BATCH_CHARS", 3000)
+def test_alignment_digests(spark, held):
     rows = strange_rows()
     want, _, _ = brute([t or "" for _, t in rows])
     got = align.alignment_digests(frame(spark, rows), *PATHS, held_pairs=held)

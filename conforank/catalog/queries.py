@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, l2_normalize, scale, zscore
 from ..operators import graph as g
-from ..operators import means, metrics, ranking, references, similarity, splits, topk, whitening
+from ..operators import episodes, means, metrics, ranking, references, similarity, splits, topk, whitening
 from ..plans import scoring
 from ..plans.benchmark import evaluate
 from ..schema import EPISODE_KEY
@@ -360,9 +360,20 @@ EPISODE_MEANS = [
 
 @register(long_sql(EPISODE_MEANS, "tmean", "target_id", "m"))
 def subset_recenter(spark, sf):
-    """Means of the episode libraries, which are what re-centring subtracts."""
-    rows = splits.episode_libraries(views.library(spark, sf), _members(spark, sf, "series-disjoint"))
-    return long(means.balanced_means(rows), ["target_id"], "mean")
+    """Means of the episode libraries, which are what re-centring subtracts, by bitmaps of what each shows."""
+    members = _members(spark, sf, "series-disjoint")
+    return _episode_means(spark, sf, members, episodes.episode_masks(members))
+
+
+def _episode_means(spark, sf, members, masks):
+    rows = episodes.episode_means(views.library(spark, sf), members, masks)
+    return long(rows.withColumn("target_id", splits.library_name()), ["target_id"], "mean")
+
+
+@register(long_sql(EPISODE_MEANS, "tmean", "target_id", "m"))
+def subset_recenter_algebra(spark, sf):
+    """The same from the sums of targets and of hidden molecules, for libraries whose bitmaps are too large to send."""
+    return _episode_means(spark, sf, _members(spark, sf, "series-disjoint"), None)
 
 
 @register(

@@ -113,8 +113,11 @@ def _runs(pos: np.ndarray) -> np.ndarray:
 
 
 def _molecule_partials(context: Context, raw: np.ndarray, pos: np.ndarray, projection: np.ndarray | None):
-    """Per molecule of one batch: run starts, vector sums, counts, episode statistics."""
-    white = unit_rows(raw if projection is None else (raw - context.mean) @ projection)
+    return molecule_sums(context, unit_rows(raw if projection is None else (raw - context.mean) @ projection), pos)
+
+
+def molecule_sums(context: Context, white: np.ndarray, pos: np.ndarray):
+    """Per molecule of one batch of unit vectors: run starts, vector sums, counts, episode statistics."""
     starts = _runs(pos)
     sizes = np.diff(np.r_[starts, len(pos)])
     sims = white @ context.support.T

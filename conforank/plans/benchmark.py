@@ -14,7 +14,7 @@ from ..sources import cache as store
 from ..sources import tables
 from ..sources.sinks import stamped, write_benchmark
 from ..storage import pin, write_table
-from .scoring import score_library
+from .scoring import score_episode_libraries, score_library
 
 # Split protocols of each benchmark and their folders.
 BENCHMARK_SPLITS = {
@@ -34,10 +34,7 @@ def score_episodes(
     the others give each episode its own, newly centred library."""
     if split == "molecule-random":
         return score_library(conformers, refs, params, projection)
-    libraries = splits.episode_libraries(conformers, members)
-    named = refs.withColumn("target_id", splits.library_name())
-    scores = score_library(libraries, named, params, projection)
-    return scores.withColumn("target_id", F.regexp_replace("target_id", "#[^#]*#[^#]*$", ""))
+    return score_episode_libraries(conformers, refs, members, params, projection)
 
 
 def check_ranked(scores: DataFrame, members: DataFrame) -> None:

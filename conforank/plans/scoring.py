@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import zscore
+from ..operators.episodes import episode_features
 from ..operators.graph import build_graph, propagate
 from ..operators.references import check_references
 from ..operators.similarity import (
@@ -19,6 +20,7 @@ from ..operators.similarity import (
     molecule_features,
     pooled_from_features,
 )
+from ..operators.splits import episode_libraries, library_name
 from ..schema import CONFORMER_COLUMNS, EPISODE_KEY, Params, need_columns, reject_if_any
 from ..storage import BROADCAST_BYTES, attach, pin, write_table
 
@@ -60,6 +62,44 @@ def score_library(
     else:
         features = write_table(molecule_features(library, contexts, projection), "features")
         centers, pooled = centers_from_features(features), pooled_from_features(features)
+    return _scores(centers, pooled, refs, params, side)
+
+
+def score_episode_libraries(
+    conformers: DataFrame,
+    refs: DataFrame,
+    members: DataFrame,
+    params: Params,
+    projection: np.ndarray | None = None,
+    side: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``score_library`` where each episode sees only its visible ``members``, re-centred on them.
+
+    The vectors are read as they lie, by all episodes together; only references too large to
+    broadcast make a library of its own for each episode.
+    """
+    refs = refs.select(
+        "target_id", F.col("seed").cast("int").alias("seed"), F.col("k").cast("int").alias("k"), "parent_id"
+    )
+    refs, fits = pin(refs, 128, "references")
+    library = _referenced_targets(conformers, refs, fits)
+    library = library.withColumn("parent_pos", F.col("parent_pos").cast("bigint"))
+    features = episode_features(
+        library, refs, members, projection, params.max_reference_conformers,
+        params.support_similarity_topk, broadcast_bytes,
+    )
+    named = refs.withColumn("target_id", library_name())
+    if features is None:
+        scores = score_library(episode_libraries(library, members), named, params, projection, side, broadcast_bytes)
+    else:
+        features = write_table(features, "features")
+        scores = _scores(centers_from_features(features), pooled_from_features(features), named, params, side)
+    return scores.withColumn("target_id", F.regexp_replace("target_id", "#[^#]*#[^#]*$", ""))
+
+
+def _scores(centers: DataFrame, pooled: DataFrame, refs: DataFrame, params: Params, side: int | None) -> DataFrame:
+    """Scores from molecule centres and pooled pose similarities."""
     centers = write_table(centers, "centers")
     walk = graph_scores(centers, refs, params, side)
     queries = pooled.join(refs, [*EPISODE_KEY, "parent_id"], "left_anti")

@@ -100,32 +100,25 @@ def allowed(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _counted(n: int, num: int, den: int) -> int:
+    """First tokens of each set that are counted: past the prefix, because leaving out frequent ones moves its end."""
+    return allowed(n, num, den) * 3 // 2 + 8
+
+
 def _size_class(n: int, num: int, den: int) -> int:
     return int(math.floor(math.log(n) / math.log(den / num) + 1e-9))
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
-    """Signatures of one set, and whether they are plain tokens: linked sets share at least one.
+def index_length(n: int, num: int, den: int) -> int:
+    """Prefix length towards partners that are not smaller: these must share more."""
+    return n - -(-2 * n * num // (num + den)) + 1
 
-    The global order is rare tokens by hash, then frequent ones by hash. If the prefix is all
-    rare, each token is a signature. Otherwise frequent tokens are dealt to classes by hash and
-    indexed by pairs within a class; a class whose tokens share no pair lacks all but one of them,
-    so the prefix goes on until the rare tokens and all but one token of each class reach its
-    length. The number of classes follows the size, so pairs stay about as many as tokens; sets of
-    neighbouring sizes meet because each is indexed for its own size class and the next.
-    """
-    n = len(shingles)
-    need = allowed(n, num, den)
-    is_frequent = np.zeros(n, bool)
-    if len(frequent):
-        kind = shingles >> CLASS_SHIFT
-        is_frequent = frequent[np.minimum(np.searchsorted(frequent, kind), len(frequent) - 1)] == kind
-    rare, often = shingles[~is_frequent], shingles[is_frequent]
+
+def _prefix(rare: np.ndarray, often: np.ndarray, buckets: tuple[int, ...], need: int, num: int, den: int) -> tuple[np.ndarray, bool]:
     if len(rare) >= need:
         return rare[:need], True
     out = [rare]
-    own = _size_class(n, num, den)
-    for bucket in (own, own + 1):
+    for bucket in buckets:
         classes = max(1, int((den / num) ** (bucket - 1)) // 8)
         deal = (often >> np.uint64(7)) % np.uint64(classes)
         order = np.argsort(deal, kind="stable")
@@ -144,11 +137,33 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -
     return np.unique(np.concatenate(out)), False
 
 
-def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, n, key, sketch and first tokens of every document; those of a set come once a task.
+def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """Signatures of one set, which of them are for its index, and whether all, and those, are plain tokens.
 
-    Tokens are given past the prefix, because leaving out frequent ones moves its end.
+    Of two linked sets, an index signature of the smaller one (either, if they are as large) is a
+    signature of the other. The global order is rare tokens by hash, then frequent ones by hash.
+    If a prefix is all rare, each token is a signature. Otherwise frequent tokens are dealt to
+    classes by hash and indexed by pairs within a class; a class whose tokens share no pair lacks
+    all but one of them, so the prefix goes on until the rare tokens and all but one token of each
+    class reach its length. The number of classes follows the size, so pairs stay about as many as
+    tokens; sets of neighbouring sizes meet because each is indexed for its own size class and the
+    next. The index takes the shorter prefix that suffices towards partners not smaller, so a set
+    whose rare tokens already tell it from all that share its frequent ones is not met there.
     """
+    n = len(shingles)
+    is_frequent = np.zeros(n, bool)
+    if len(frequent):
+        kind = shingles >> CLASS_SHIFT
+        is_frequent = frequent[np.minimum(np.searchsorted(frequent, kind), len(frequent) - 1)] == kind
+    own = _size_class(n, num, den)
+    parts = shingles[~is_frequent], shingles[is_frequent], (own, own + 1)
+    every, plain = _prefix(*parts, allowed(n, num, den), num, den)
+    some, some_plain = _prefix(*parts, index_length(n, num, den), num, den)
+    return every, np.isin(every, some), plain, some_plain
+
+
+def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n, key, sketch and first tokens of every document; those of a set come once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = word_hashes(), set()
@@ -162,7 +177,7 @@ def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
                     ns.append(n)
                     keys.append(key)
                     fresh = n > 1 and (key, n) not in seen
-                    lows.append((shingles[: allowed(n, num, den) * 3 // 2 + 8] >> CLASS_SHIFT).astype(np.int64) if fresh else None)
+                    lows.append((shingles[: _counted(n, num, den)] >> CLASS_SHIFT).astype(np.int64) if fresh else None)
                     sketches.append(sketch(shingles) if fresh else None)
                     seen.add((key, n))
                 yield pa.RecordBatch.from_arrays(
@@ -178,62 +193,65 @@ def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _signed(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """(sig, key, n, plain) of every set, once a task."""
+    """(sig, key, n, index, plain, index_plain) of every set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = word_hashes(), set()
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
-                sigs, sizes, found = [np.zeros(0, np.int64)], [0], [(0, 0, True)]
+                sigs, marks, sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [0], [(0, 0, True, True)]
                 for text in batch.slice(start, BATCH_ROWS).column(1).to_pylist():
                     shingles = shingle_set(text, hashes)
                     n, key = len(shingles), set_key(shingles)
                     if n > 1 and (key, n) not in seen:
                         seen.add((key, n))
-                        some, plain = signatures(shingles, frequent, num, den)
+                        some, index, *plain = signatures(shingles, frequent, num, den)
                         sigs.append(some.astype(np.int64))
+                        marks.append(index)
                         sizes.append(len(some))
-                        found.append((key, n, plain))
-                key, n, plain = (np.repeat(np.array(c), sizes) for c in zip(*found))
+                        found.append((key, n, *plain))
+                key, n, plain, index_plain = (np.repeat(np.array(c), sizes) for c in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(plain.astype(bool))],
-                    ["sig", "key", "n", "plain"],
+                    [pa.array(np.concatenate(sigs)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), *map(pa.array, (np.concatenate(marks), plain.astype(bool), index_plain.astype(bool)))],
+                    ["sig", "key", "n", "index", "plain", "index_plain"],
                 )
 
-    return docs.mapInArrow(run, "sig long, key long, n int, plain boolean")
+    return docs.mapInArrow(run, "sig long, key long, n int, index boolean, plain boolean, index_plain boolean")
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """(sig, key, n, plain) of each set that is not the smallest of its signature, with the smallest: p_key, p_n, p_plain.
+    """Each set of a signature that may link to the smallest one indexed there, with that one as ``p``.
 
-    Signatures of a single set, most of them, leave no row. One sort by signature; running
-    windows hold a row at a time, so the size of a group does not matter.
+    Signatures of a single set, most of them, leave no row; nor do sets smaller than all that
+    are indexed. One sort by signature; running windows hold a row at a time, so the size of a
+    group does not matter.
     """
-    order = Window.partitionBy("sig").orderBy("n", "key")
+    order = Window.partitionBy("sig").orderBy("n", F.col("index").desc(), "key")
     rows = _signed(docs, frequent, num, den)
     rows = rows.withColumns(
         {
-            "_p": F.first(F.struct("key", "n", "plain")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "p": F.first(F.when(F.col("index"), F.struct("key", "n", "plain", "index_plain")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
             "_again": F.coalesce((F.lag("key").over(order) == F.col("key")) & (F.lag("n").over(order) == F.col("n")), F.lit(False)),
         }
     )
-    other = (F.col("key") != F.col("_p.key")) | (F.col("n") != F.col("_p.n"))
-    return rows.where(~F.col("_again") & other).select(
-        "sig", "key", "n", "plain", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("key", "n", "plain")]
-    )
+    other = (F.col("key") != F.col("p.key")) | (F.col("n") != F.col("p.n"))
+    return rows.where(~F.col("_again") & other).drop("_again")
 
 
 def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, na, pa, b, nb, pb) that share enough signatures, once each.
+    """Pairs (a, na, pa, b, nb, pb) with na <= nb that share enough signatures, once each.
 
-    Of two plain sets, shared tokens outside the prefixes are at most what one of them has there;
-    the rest of the least overlap must be among their common signatures.
+    Where the index of ``a`` and all of ``b`` are plain, shared tokens beyond the prefixes are at
+    most what one of them has there; the rest of the least overlap must be among their common
+    signatures.
     """
-    fits = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+    fits = F.lit(den) * F.col("na") >= F.lit(num) * F.col("nb")
     counted = pairs.where(fits).groupBy("a", "na", "pa", "b", "nb", "pb").count()
     overlap = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")).cast("long") / F.lit(num + den) - 1e-9)
-    outside = F.ceil(F.greatest("na", "nb").cast("long") * num / F.lit(den) - 1e-9) - 1
-    return counted.where(~(F.col("pa") & F.col("pb")) | (F.col("count") >= overlap - outside)).select("a", "b")
+    beyond_a = F.ceil(F.col("na").cast("long") * 2 * num / F.lit(num + den) - 1e-9) - 1
+    beyond_b = F.ceil(F.col("nb").cast("long") * num / F.lit(den) - 1e-9) - 1
+    few = F.col("count") >= overlap - F.greatest(beyond_a, beyond_b)
+    return counted.where(~(F.col("pa") & F.col("pb")) | few).select("a", "b")
 
 
 def _linked(a: Column, b: Column, key: Column, num: int, den: int) -> Column:
@@ -287,6 +305,66 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("key").join(found, "key", "left").select("key", F.coalesce("_m", "key").alias("comp"))
 
 
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of signatures that hold several components, an indexed one among them, with ``comp``."""
+    placed = members.join(comps, "key")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("sig")
+    return write_table(placed.join(mixed, "sig"), "jaccard-left")
+
+
+def _unknown(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """``pairs`` that are not among those ``done``."""
+    known = done.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    return pairs.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
+
+
+def _most_frequent(tokens: DataFrame) -> np.ndarray:
+    """The tokens (token, count, level) of the highest levels, ``MOST_FREQUENT`` at most, sorted."""
+    level, room = 0, MOST_FREQUENT
+    for r in tokens.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few hundred levels at most
+        room -= r["count"]
+        if room < 0:
+            break
+        level = r["level"]
+    most = tokens.where(F.col("level") >= level) if level else tokens.limit(0)
+    return np.unique(most.select("token").toArrow()["token"].to_numpy().astype(np.int64).astype(np.uint64))
+
+
+def _lacks_rare(low: Column, n: Column, frequent: np.ndarray, num: int, den: int) -> Column:
+    """Are so many of a set's first tokens frequent that its prefix goes past them?"""
+
+    @F.arrow_udf("boolean")
+    def lacks(lists: pa.Array, sizes: pa.Array) -> pa.Array:
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        rare = np.ones(len(values), np.int64)
+        if len(frequent):
+            rare -= frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        found = np.diff(np.concatenate([[0], np.cumsum(rare)])[ends])
+        ns = sizes.to_numpy(zero_copy_only=False)
+        need = ns + (-ns * num) // den + 1
+        return pa.array((found < need) & (lengths < ns))
+
+    return lacks(low, n)
+
+
+def _later_tokens(num: int, den: int):
+    """Tokens of each text past those that ``_sets`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                found = [np.zeros(0, np.uint64)]
+                for text in batch.slice(start, BATCH_ROWS).column(0).to_pylist():
+                    shingles = shingle_set(text, hashes)
+                    found.append(shingles[_counted(len(shingles), num, den) :] >> CLASS_SHIFT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["token"])
+
+    return run
+
+
 def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, ``n_shingles`` and ``component_id`` of every row: connected groups of similar documents.
 
@@ -297,8 +375,10 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     Equal sets are one node, so copies of any number cost a row each. Within a signature all sets
     are first compared with the smallest only; verified links are joined to components, and then
     just the pairs of different components are compared. A group of thousands of near copies so
-    costs pairs in proportion to its size, not to its square, and a passage that many documents
-    share is of the frequent class and no signature of theirs. Sizes, the number of common
+    costs pairs in proportion to its size as far as links to one set join it; sets that are close
+    to each other but below the similarity are still compared in pairs, which grow with the
+    square of their number. A passage that many documents share is of the
+    frequent class and no signature of theirs. Sizes, the number of common
     signatures and counts of tokens in hash buckets filter pairs beforehand, without losing a link.
 
     Null and empty texts, and texts without a word, have 0 shingles and are alone. Repeated rows
@@ -309,21 +389,21 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
         raise ValueError("the similarity must be above one half")
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     sets = write_table(_sets(texts, num, den), "jaccard-sets")
-    tokens = sets.select(F.explode("_low").alias("token")).groupBy("token").count()
-    tokens = write_table(tokens.where(F.col("count") > FREQUENT).withColumn("level", F.floor(4 * F.log2("count"))), "jaccard-frequent")
-    level, room = 0, MOST_FREQUENT
-    for r in tokens.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few hundred levels at most
-        room -= r["count"]
-        if room < 0:
-            break
-        level = r["level"]
-    most = tokens.where(F.col("level") >= level) if level else tokens.limit(0)
-    frequent = np.sort(most.select("token").toArrow()["token"].to_numpy().astype(np.int64).astype(np.uint64))
+    counted = lambda t, name: write_table(t.groupBy("token").count().where(F.col("count") > FREQUENT).withColumn("level", F.floor(4 * F.log2("count"))), name)
+    tokens = counted(sets.select(F.explode("_low").alias("token")), "jaccard-frequent")
+    frequent = _most_frequent(tokens)
+    # Near copies in great number share more than the tokens counted so far, which hide that the next are frequent too.
+    short = sets.where(F.col("_low").isNotNull()).where(_lacks_rare(F.col("_low"), F.col("_n"), frequent, num, den))
+    short = short.groupBy("_key", "_n").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("_r"))
+    short = write_table(short.select(F.xxhash64("_key", "_n").alias("key"), F.col("_r._id").alias("rep"), F.col("_r._hash").alias("rep_hash")), "jaccard-short")
+    if not short.isEmpty():
+        rest = _texts(short, docs).select("text").mapInArrow(_later_tokens(num, den), "token long")
+        frequent = _most_frequent(tokens.unionByName(counted(rest, "jaccard-frequent")))
 
     node = lambda key, n: F.xxhash64(F.col(key), F.col(n).cast("long"))
-    postings = _postings(texts, frequent, num, den).select(
-        "sig", node("key", "n").alias("key"), "n", "plain", node("p_key", "p_n").alias("p_key"), "p_n", "p_plain"
-    )
+    postings = _postings(texts, frequent, num, den)
+    first = F.struct(node("p.key", "p.n").alias("key"), "p.n", "p.plain", "p.index_plain")
+    postings = postings.select("sig", node("key", "n").alias("key"), "n", "index", "plain", "index_plain", first.alias("p"))
     postings = write_table(postings, "jaccard-postings")
     nodes = sets.where("_n > 0").groupBy("_key", "_n").agg(
         F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("_r"), F.max("_sketch").alias("sketch")
@@ -333,22 +413,21 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     )
     nodes = write_table(nodes, "jaccard-nodes")
     sides = lambda *c: [F.col(x).alias(y) for x, y in zip(c, ("a", "na", "pa", "b", "nb", "pb"))]
-    stars = _possible(postings.select(*sides("p_key", "p_n", "p_plain", "key", "n", "plain")), num, den)
+    stars = _possible(postings.select(*sides("p.key", "p.n", "p.index_plain", "key", "n", "plain")), num, den)
     done = _verified(_bounded(stars, nodes, num, den), nodes, docs, num, den)
     comps = write_table(components(nodes, done.where("linked")), "jaccard-components")
 
     # Members of a signature that are still in different components, its smallest set included.
-    smallest = postings.select("sig", F.col("p_key").alias("key"), F.col("p_n").alias("n"), F.col("p_plain").alias("plain")).distinct()
-    members = postings.select("sig", "key", "n", "plain").unionByName(smallest).join(comps, "key")
-    mixed = members.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("sig")
-    left = write_table(members.join(mixed, "sig"), "jaccard-left")
-    x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "plain", "comp")]) for s in "xy")
-    rest = x.join(y, "sig").where("comp_x < comp_y")
-    rest = _possible(rest.select(*sides("key_x", "n_x", "plain_x", "key_y", "n_y", "plain_y")), num, den)
-    known = done.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
-    rest = rest.join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
-    rest = _bounded(rest, nodes, num, den)
+    smallest = postings.select("sig", "p.key", "p.n", F.lit(True).alias("index"), "p.plain", "p.index_plain").distinct()
+    members = postings.drop("p").unionByName(smallest)
     links = done.where("linked").select("a", "b")
+    left = _unsettled(members, comps)
+    x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "index", "plain", "index_plain", "comp")]) for s in "xy")
+    # The smaller one is indexed; of equal ones, either, and the smaller key is named first.
+    equal = (F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")) & (F.col("index_x") | F.col("index_y"))
+    rest = x.join(y, "sig").where((F.col("comp_x") != F.col("comp_y")) & (((F.col("n_x") < F.col("n_y")) & F.col("index_x")) | equal))
+    rest = _possible(rest.select(*sides("key_x", "n_x", "index_plain_x", "key_y", "n_y", "plain_y")), num, den)
+    rest = _bounded(_unknown(rest, done), nodes, num, den)
     if not rest.isEmpty():
         more = _verified(rest, nodes, docs, num, den)
         links = links.unionByName(more.where("linked").select("a", "b"))
@@ -393,14 +472,18 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return write_table(kept.select("a", "b"), "jaccard-pairs")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` (a, b) of nodes with ``linked``, each by the whole texts of one document of both."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key")
+def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text) of ``needed`` (key, rep, rep_hash): the text of one document each; written."""
     small, fits = pin(needed.select("key", "rep", "rep_hash"), 64, "jaccard-needed")
     texts = docs.select("doc_id", "text").withColumn("_hash", F.xxhash64("text"))
     match = texts["doc_id"].eqNullSafe(small["rep"]) & (texts["_hash"] == small["rep_hash"])
-    found = texts.join(F.broadcast(small) if fits else small, match).select("key", "text")
-    found = write_table(found, "jaccard-texts")
+    return write_table(texts.join(F.broadcast(small) if fits else small, match).select("key", "text"), "jaccard-texts")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, b) of nodes with ``linked``, each by the whole texts of one document of both."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key")
+    found = _texts(needed, docs)
     second = pairs.join(found.select(F.col("key").alias("b"), F.col("text").alias("_tb")), "b")
     both = second.join(found.select(F.col("key").alias("a"), F.col("text").alias("_ta")), "a")
     checked = both.select("a", "b", _linked(F.col("_ta"), F.col("_tb"), F.col("a"), num, den).alias("linked"))

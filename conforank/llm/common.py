@@ -8,9 +8,8 @@ clash with working columns, and a column named like a result is replaced by it.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,19 +58,9 @@ def restored(df: DataFrame, like: DataFrame, text: Column | None = None, **resul
 ascii_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """Run ``make()`` once in each task and its result on every Arrow batch of ``docs``.
-
-    The function returns column name -> values for ``schema``. Batches are small in bytes
-    only if rows are; Spark cuts them by rows (``spark.sql.execution.arrow.maxRecordsPerBatch``).
-    """
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                out = work(batch.slice(start, BATCH_ROWS))
-                yield pa.RecordBatch.from_pydict({n: out[n] for n in names})
-
-    return docs.mapInArrow(run, schema)
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import write_table
-from .common import ascii_words
+from .common import ascii_words, unused
 from .jaccard import _PLACES, CACHE_WORDS, WORDS, _mixed
 
 #: Fingerprints of 64 bits in eight blocks of eight: within ``RADIUS`` at least one block differs
@@ -216,5 +216,6 @@ def find_items(docs: DataFrame, items: DataFrame, num: int = 75, den: int = 100)
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id has no finding, columns unchanged. Rows without an id go together."""
-    hits = write_table(find_items(docs, items).select(F.col("doc_id").alias("_hit")).distinct(), "items-found")
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    mark = unused(docs, "hit")
+    hits = write_table(find_items(docs, items).select(F.col("doc_id").alias(mark)).distinct(), "items-found")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits[mark]), "left_anti")

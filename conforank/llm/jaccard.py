@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import pin, write_table
-from .common import BATCH_ROWS, LOWER_MAP, ascii_words
+from .common import BATCH_ROWS, LOWER_MAP, ascii_words, unused
 
 WORDS = 5
 #: Tokens that begin the hash order of more than so many sets are of the frequent class; at most so
@@ -158,6 +158,8 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -
     own = _size_class(n, num, den)
     parts = shingles[~is_frequent], shingles[is_frequent], (own, own + 1)
     every, plain = _prefix(*parts, allowed(n, num, den), num, den)
+    if plain:  # in the same order, so the index takes the first of them
+        return every, np.arange(len(every)) < index_length(n, num, den), True, True
     some, some_plain = _prefix(*parts, index_length(n, num, den), num, den)
     return every, np.isin(every, some), plain, some_plain
 
@@ -451,16 +453,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = write_table(groups, "jaccard-groups")
     named = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
     marks = named.agg(F.count(F.lit(1)).alias("rows"), F.min((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    gone = write_table(marks.where("first = 0").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = marks.where("rows > 1 AND first = 1").select(F.col("doc_id").alias("_again"))
+    mark, place = unused(docs, "mark"), unused(docs, "place")
+    gone = write_table(marks.where("first = 0").select(F.col("doc_id").alias(mark)), "jaccard-gone")
+    left = docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
+    again = marks.where("rows > 1 AND first = 1").select(F.col("doc_id").alias(mark))
     if again.isEmpty():
         return left
     again = write_table(again, "jaccard-repeated")
-    once = left.join(again, left["doc_id"] == F.col("_again"), "left_anti")
-    more = left.join(again, left["doc_id"] == F.col("_again"), "left_semi")
+    once = left.join(again, left["doc_id"] == again[mark], "left_anti")
+    more = left.join(again, left["doc_id"] == again[mark], "left_semi")
     picked = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    more = more.withColumn("_place", F.row_number().over(picked)).where("_place = 1").drop("_place")
+    more = more.withColumn(place, F.row_number().over(picked)).where(F.col(place) == 1).drop(place)
     return once.unionByName(more)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import write_table
-from .common import SPACE, SPACES, let
+from .common import SPACE, SPACES, let, unused
 
 #: Chi-square points for five dimensions and the matching consistency factors.
 SUBSET_SHARE = 0.75
@@ -261,5 +261,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     an id count as sharing it).
     """
     verdicts = judge_quality(docs.select("doc_id", "text", "lang", "source"))
-    bad = write_table(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "quality-rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    mark = unused(docs, "bad")
+    bad = write_table(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(mark)).distinct(), "quality-rejected")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[mark]), "left_anti")

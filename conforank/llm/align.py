@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import write_table
-from .common import carried, restored
+from .common import alone, carried, restored
 from .pieces import BYTE, NORMAL, read_pieces
 from .vocabulary import small_batches
 
@@ -93,7 +92,7 @@ class Pair:
         return out[0], out[1]
 
 
-@functools.cache
+@alone
 def pair(path_a: str, path_b: str) -> Pair:
     """One for each Python worker and files."""
     return Pair(path_a, path_b)

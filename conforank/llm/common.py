@@ -7,6 +7,7 @@ clash with working columns, and a column named like a result is replaced by it.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -64,3 +65,24 @@ def unused(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+_held: dict[tuple, object] = {}
+
+
+def alone(make: Callable) -> Callable:
+    """Cache of what ``make`` gives; a process keeps one such thing, of any maker, and lets the last one go.
+
+    Python workers live on from stage to stage, so what an operator remembers would stay beside
+    the next one's.
+    """
+
+    @functools.wraps(make)
+    def get(*args):
+        key = (make.__module__, make.__name__, args)
+        if key not in _held:
+            _held.clear()
+            _held[key] = make(*args)
+        return _held[key]
+
+    return get

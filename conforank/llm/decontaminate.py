@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import write_table
-from .common import ascii_words, unused
+from .common import alone, ascii_words, unused
 from .jaccard import _PLACES, CACHE_WORDS, WORDS, _mixed
 
 #: Fingerprints of 64 bits in eight blocks of eight: within ``RADIUS`` at least one block differs
@@ -42,7 +41,7 @@ class PlainHashes(dict):
         return value
 
 
-@functools.cache
+@alone
 def plain_hashes() -> PlainHashes:
     """One for each Python worker, over all its tasks."""
     return PlainHashes()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import pin, write_table
-from .common import BATCH_ROWS, LOWER_MAP, ascii_words, unused
+from .common import BATCH_ROWS, LOWER_MAP, alone, ascii_words, unused
 
 WORDS = 5
 #: Tokens that begin the hash order of more than so many sets are of the frequent class; at most so
@@ -47,7 +46,7 @@ class WordHashes(dict):
         return value
 
 
-@functools.cache
+@alone
 def word_hashes() -> WordHashes:
     """One for each Python worker, over all its tasks."""
     return WordHashes()

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone
+
 #: Characters encoded at once; a longer text is a batch of its own.
 BATCH_CHARS = 2_000_000
 #: Rows decoded at once.
@@ -272,7 +274,7 @@ class PieceCodec:
         return [str(data[a:b], "utf-8", "replace").removeprefix(" ") if t else "" for a, b, t in zip(cuts, cuts[1:], there)]
 
 
-@functools.cache
+@alone
 def codec(path: str) -> PieceCodec:
     """One for each Python worker and file."""
     return PieceCodec(path)

@@ -1,19 +1,21 @@
-"""Exact top-k inner products between sets of unit vectors, in bounded cells.
-
-Rows are hashed into blocks of about ``side`` vectors within their target. A cell
-is one pair of blocks; a task multiplies the two blocks piece by piece and returns
-only the best k partners per vector, and the best of these are merged by source row.
-The largest group a task sees is two blocks, however large a target is.
-
-With n vectors of d dimensions in a target and b = n / side blocks, each vector is
-sent b times and n * b * k candidates are merged. Blocks are therefore as large as
-BLOCK_BYTES allows. All n^2 products are formed, as the result is exact; a pair of
-blocks is multiplied once per direction so that only a strip is held at a time.
+"""Exact top-k inner products between sets of unit vectors, in bounded panels.
+
+Rows are hashed into blocks of about ``side`` vectors within their target. A task owns
+one block, its panel, and reads up to SPAN other blocks as a stream. It keeps a running
+top-k for the rows of its panel, so they leave the task once and not once per block.
+
+Within one set the blocks stand in a circle and a panel meets the half that follows it:
+a pair of blocks is multiplied once, and the same product also gives the streamed rows
+their best k of the panel. With n vectors of a target in b blocks, a vector is sent
+about b / 2 + b / (2 * SPAN) times, and as many times k candidates of it are merged. All
+n^2 / 2 products are formed, as the result is exact. A task holds its panel, one Arrow
+batch and one product of PRODUCT_BYTES, and reads at most SPAN + 1 blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from ..storage import attach, pin
 BLOCK_BYTES = 64 * 1024 * 1024
 PRODUCT_BYTES = 64 * 1024 * 1024
 SMALL_SIDE = 512
+# Blocks that a task reads beside its panel.
+SPAN = 8
 # A similarity in [-1, 1] is held as an integer of this resolution above the column
 # number, so one partial sort orders by similarity and then by library position.
 RESOLUTION = 1 << 38
@@ -37,26 +41,36 @@ COLUMN_BITS = 24
 HITS = "target_id string, src bigint, dst bigint, sim double"
 
 
-def best_columns(sims: np.ndarray, k: int, skip: np.ndarray | None = None):
-    """Best ``k`` columns per row: (row, column, similarity); ties to the left.
+NEVER = np.iinfo(np.int64).min
 
-    ``skip`` names one column per row that may not be chosen.
-    """
+
+def _best_keys(sims: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the best ``k`` columns per row, in no order; NEVER for the column ``skip`` of a row."""
     rows, cols = sims.shape
-    last = (1 << COLUMN_BITS) - 1
     keys = np.rint(sims * RESOLUTION).astype(np.int64) << COLUMN_BITS
-    keys += last - np.arange(cols, dtype=np.int64)
-    never = np.iinfo(np.int64).min
+    keys += (1 << COLUMN_BITS) - 1 - np.arange(cols, dtype=np.int64)
     if skip is not None:
-        keys[np.arange(rows), skip] = never
+        keys[np.arange(rows), skip] = NEVER
     take = min(k, cols)
     if take == 0:
-        keys = keys[:, :0]
-    elif take < cols:
-        keys = np.partition(keys, cols - take, axis=1)[:, cols - take :]
-    row, slot = np.nonzero(keys != never)
+        return keys[:, :0]
+    return np.partition(keys, cols - take, axis=1)[:, cols - take :] if take < cols else keys
+
+
+def _column(keys: np.ndarray) -> np.ndarray:
+    last = (1 << COLUMN_BITS) - 1
+    return last - (keys & last)
+
+
+def best_columns(sims: np.ndarray, k: int, skip: np.ndarray | None = None):
+    """Best ``k`` columns per row: (row, column, similarity); ties to the left.
+
+    ``skip`` names one column per row that may not be chosen.
+    """
+    keys = _best_keys(sims, k, skip)
+    row, slot = np.nonzero(keys != NEVER)
     chosen = keys[row, slot]
-    return row, last - (chosen & last), (chosen >> COLUMN_BITS) / RESOLUTION
+    return row, _column(chosen), (chosen >> COLUMN_BITS) / RESOLUTION
 
 
 def block_side(width: int) -> int:
@@ -64,55 +78,111 @@ def block_side(width: int) -> int:
     return min(max(SMALL_SIDE, BLOCK_BYTES // (8 * width)), 1 << COLUMN_BITS)
 
 
-def _hits(target: str, left, right, src: np.ndarray, dst: np.ndarray, k: int, own: bool) -> list[pa.Table]:
-    """Best k of ``right`` for every row of ``left``, a bounded product at a time."""
-    out = []
-    chunk = max(1, PRODUCT_BYTES // (8 * max(1, len(dst))))
-    for start in range(0, len(src), chunk):
-        part = left[start : start + chunk] @ right.T
-        skip = np.arange(start, start + len(part)) if own else None
-        row, col, sim = best_columns(part, k, skip)
-        out.append(
-            pa.table(
-                {
-                    "target_id": pa.array([target] * len(row), pa.string()),
-                    "src": src[start + row],
-                    "dst": dst[col],
-                    "sim": sim,
-                }
-            )
-        )
-    return out
-
-
-def _cell(k: int, own_set: bool):
-    """Kernel for one cell holding two blocks, or one block against itself."""
-
-    def run(cell: pa.Table) -> pa.Table:
-        target = cell.column("target_id")[0].as_py()
-        a, b = cell.column("a")[0].as_py(), cell.column("b")[0].as_py()
-        pos = cell.column("pos").to_numpy()
-        side = cell.column("side").to_numpy()
-        order = np.lexsort((pos, side))
-        vectors = to_matrix(cell.column("vec"))[order]
-        pos, side = pos[order], side[order]
-        split = int(np.searchsorted(side, 1))
-        empty = pa.schema([("target_id", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())]).empty_table()
-        if own_set and a == b:
-            tables = _hits(target, vectors, vectors, pos, pos, k, True)
-        elif split == 0 or split == len(pos):
-            return empty
+def _sorted_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a batch in ascending order, and their vectors."""
+    pos = batch.column("pos").to_numpy()
+    order = np.argsort(pos, kind="stable")
+    return pos[order], to_matrix(batch.column("vec"))[order]
+
+
+class _Panel:
+    """Vectors of one block with the best k partners met so far.
+
+    ``sims`` are integers of RESOLUTION, ``partners`` library positions; both are as wide as
+    partners were offered, and at most k.
+    """
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], k: int, own: bool):
+        self.k = k
+        self.pos = np.concatenate([p for p, _ in parts]) if parts else np.empty(0, np.int64)
+        order = np.argsort(self.pos, kind="stable")
+        self.pos = self.pos[order]
+        self.vectors = np.concatenate([v for _, v in parts])[order] if parts else np.empty((0, 0))
+        self.chunk = max(1, PRODUCT_BYTES // (8 * max(1, len(self.pos))))
+        self.sims = np.empty((len(self.pos), 0), np.int64)
+        self.partners = np.empty((len(self.pos), 0), np.int64)
+        if own and len(self.pos):
+            self._meet_itself()
+
+    def _meet_itself(self) -> None:
+        keys = []
+        for start in range(0, len(self.pos), self.chunk):
+            part = self.vectors[start : start + self.chunk] @ self.vectors.T
+            keys.append(_best_keys(part, self.k, np.arange(start, start + len(part))))
+        self._offer(np.arange(len(self.pos)), np.concatenate(keys), self.pos)
+
+    def _offer(self, rows: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> None:
+        """Merge candidates of some rows; all rows as long as a row has fewer than k."""
+        met = keys != NEVER
+        sims = np.concatenate([self.sims[rows], keys >> COLUMN_BITS], axis=1)
+        partners = np.concatenate([self.partners[rows], pos[np.where(met, _column(keys), 0)]], axis=1)
+        best = np.lexsort((partners, -sims), axis=-1)[:, : self.k]
+        sims, partners = np.take_along_axis(sims, best, 1), np.take_along_axis(partners, best, 1)
+        if len(rows) == len(self.pos):
+            self.sims, self.partners = sims, partners
         else:
-            left, right = vectors[:split], vectors[split:]
-            lpos, rpos = pos[:split], pos[split:]
-            tables = _hits(target, left, right, lpos, rpos, k, False)
-            if own_set:
-                tables += _hits(target, right, left, rpos, lpos, k, False)
-        return pa.concat_tables([empty, *tables])
+            self.sims[rows], self.partners[rows] = sims, partners
+
+    def meet(self, pos: np.ndarray, vectors: np.ndarray, mutual: bool) -> Iterator[tuple]:
+        """Take in the partners ``pos``; gives (src, dst, sim) of theirs in return if ``mutual``."""
+        if not len(self.pos) or not self.k:
+            return
+        for start in range(0, len(pos), self.chunk):
+            part = vectors[start : start + self.chunk] @ self.vectors.T
+            here = pos[start : start + len(part)]
+            if mutual:
+                row, col, sim = best_columns(part, self.k)
+                yield here[row], self.pos[col], sim
+            if self.sims.shape[1] < self.k:
+                rows = np.arange(len(self.pos))
+            else:  # most rows have k better partners after a few chunks
+                rows = np.flatnonzero(part.max(axis=0) * RESOLUTION >= self.sims[:, -1] - 1)
+            if len(rows):
+                self._offer(rows, _best_keys(part.T[rows], self.k), here)
+
+    def found(self) -> tuple:
+        row, slot = np.nonzero(self.sims != NEVER >> COLUMN_BITS)
+        return self.pos[row], self.partners[row, slot], self.sims[row, slot] / RESOLUTION
+
+
+def _panel_task(k: int, within: bool):
+    """Kernel for one panel and the blocks streamed past it; ``within`` one set, pairs serve both ways."""
+
+    def batch_of(target: str, src: np.ndarray, dst: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"target_id": pa.array([target] * len(src), pa.string()), "src": src, "dst": dst, "sim": sim}
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, panel, target, own = [], None, None, False
+        for batch in batches:
+            if target is None:
+                target = batch.column("target_id")[0].as_py()
+                own = within and batch.column("span")[0].as_py() == 0
+            side = batch.column("side").to_numpy()
+            split = int((side == 0).sum())
+            if (np.diff(side) < 0).any() or (split and panel is not None):
+                raise RuntimeError("the rows of a panel must come before the rows it meets")
+            if split:
+                parts.append(_sorted_rows(batch.slice(0, split)))
+            if split < len(side):
+                panel = panel or _Panel(parts, k, own)
+                for hits in panel.meet(*_sorted_rows(batch.slice(split)), within):
+                    yield batch_of(target, *hits)
+        panel = panel or _Panel(parts, k, own)
+        yield batch_of(target, *panel.found())
 
     return run
 
 
+def _hits(rows: DataFrame, k: int, within: bool) -> DataFrame:
+    """Candidates of all panels; ``rows`` (target_id, a, span, side, pos, vec) with side 0 for the panel's own."""
+    keys = ["target_id", "a", "span"]
+    # The grouping needs rows clustered and ordered by the keys only and keeps this finer order.
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "side")
+    return ordered.groupBy(*keys).applyInArrow(_panel_task(k, within), HITS)
+
+
 def _block_count(n, side: int, parallelism: int):
     """Blocks for ``n`` vectors: full blocks, more when that would leave cores idle."""
     wanted = math.ceil(math.sqrt(2 * parallelism))
@@ -139,31 +209,49 @@ def knn(
     """k nearest neighbours of each unit vector within its target, itself excluded.
 
     ``centers``: (target_id, parent_pos, center). ``k`` beyond n - 1 gives n - 1.
-    Each vector is sent to as many cells as its target has blocks, and a cell serves
-    both directions. Ties go to the smaller library position.
+    Ties go to the smaller library position.
     """
+    return _merge(knn_candidates(centers, k, side, sizes), k)
+
+
+def knn_candidates(
+    centers: DataFrame, k: int, side: int | None = None, sizes: tuple[DataFrame, bool] | None = None
+) -> DataFrame:
+    """Best k of every panel that a vector met, among which its k nearest neighbours are."""
     if k < 0:
         raise ValueError("the number of neighbours must not be negative")
-    spark = centers.sparkSession
+    cores = centers.sparkSession.sparkContext.defaultParallelism
     side = _checked(side or _side_of(centers, "center"))
     sizes, fits = sizes or library_sizes(centers)
-    sizes = sizes.select(
-        "target_id", _block_count(F.col("n"), side, spark.sparkContext.defaultParallelism).alias("blocks")
+    # Spans get shorter when there are fewer pairs of blocks than would keep all cores busy.
+    blocks = sizes.select("target_id", _block_count(F.col("n"), side, cores).alias("blocks")).withColumn(
+        "reach", F.least(F.lit(SPAN), F.greatest(F.lit(1), F.floor(F.col("blocks") * F.col("blocks") / F.lit(2 * cores)))).cast("int")
     )
     placed = attach(
         centers.select("target_id", F.col("parent_pos").alias("pos"), F.col("center").alias("vec")),
-        sizes, ["target_id"], fits, ["pos"],
+        blocks, ["target_id"], fits, ["pos"],
     ).withColumn("block", F.pmod(F.xxhash64("pos"), F.col("blocks").cast("long")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "target_id",
-        F.least("block", "other").alias("a"),
-        F.greatest("block", "other").alias("b"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-        "pos",
-        "vec",
+    # A panel meets the blocks 1 .. half steps ahead of it. Blocks opposite each other in an
+    # even circle are half steps apart both ways, and only the first half of panels meet them.
+    opposite = (F.col("blocks") % 2 == 0) & (F.col("blocks") > 1)
+    half = (F.col("blocks") / 2).cast("int")
+    ahead = half - F.when(opposite & (F.col("block") >= half), 1).otherwise(0)
+    behind = half - F.when(opposite & (F.col("block") < half), 1).otherwise(0)
+    spans = F.greatest(F.lit(1), F.ceil(ahead / F.col("reach"))).cast("int")
+    own = F.transform(
+        F.sequence(F.lit(0), spans - 1),
+        lambda s: F.struct(F.col("block").alias("a"), s.alias("span"), F.lit(0).alias("side")),
     )
-    hits = cells.groupBy("target_id", "a", "b").applyInArrow(_cell(k, True), HITS)
-    return _merge(hits, k)
+    steps = F.when(behind > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), behind))).otherwise(F.array().cast("array<int>"))
+    met = F.transform(
+        steps,
+        lambda t: F.struct(
+            F.pmod(F.col("block") - t, F.col("blocks")).alias("a"),
+            F.floor((t - 1) / F.col("reach")).cast("int").alias("span"),
+            F.lit(1).alias("side"),
+        ),
+    )
+    return _hits(placed.select("target_id", F.inline(F.concat(own, met)), "pos", "vec"), k, True)
 
 
 def _checked(side: int) -> int:
@@ -186,15 +274,17 @@ def topk_between(queries: DataFrame, data: DataFrame, k: int, side: int | None =
 
     grid, fits = pin(sized(queries, "qn").join(sized(data, "dn"), "target_id"), 128, "grid-sizes")
 
-    def cells(df: DataFrame, own: str, other: str, flag: int) -> DataFrame:
+    def placed(df: DataFrame, blocks: str) -> DataFrame:
         tagged = attach(df.select("target_id", "pos", "vec"), grid, ["target_id"], fits, ["pos"])
-        mine = F.pmod(F.xxhash64("pos"), F.col(own).cast("long")).cast("int")
-        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        names = ("a", "b") if flag == 0 else ("b", "a")
-        return tagged.select(
-            "target_id", mine.alias(names[0]), spread.alias(names[1]), F.lit(flag).alias("side"), "pos", "vec"
-        ).select("target_id", "a", "b", "side", "pos", "vec")
-
-    both = cells(queries, "qn", "dn", 0).unionByName(cells(data, "dn", "qn", 1))
-    hits = both.groupBy("target_id", "a", "b").applyInArrow(_cell(k, False), HITS)
-    return _merge(hits, k)
+        return tagged.withColumn("block", F.pmod(F.xxhash64("pos"), F.col(blocks).cast("long")).cast("int"))
+
+    spans = F.ceil(F.col("dn") / F.lit(SPAN)).cast("int")
+    panels = placed(queries, "qn").select(
+        "target_id", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), spans - 1)).alias("span"),
+        F.lit(0).alias("side"), "pos", "vec",
+    )
+    met = placed(data, "dn").select(
+        "target_id", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("a"),
+        F.floor(F.col("block") / F.lit(SPAN)).cast("int").alias("span"), F.lit(1).alias("side"), "pos", "vec",
+    )
+    return _merge(_hits(panels.unionByName(met), k, False), k)

@@ -51,6 +51,43 @@ def test_knn_is_exact_across_blocks(spark, side):
                 assert part["dst"].tolist() == dst[src].tolist()
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 9, 20])
+def test_pairs_of_blocks_meet_once(spark, blocks):
+    n, k = 40 * blocks, 6
+    m = random_units(n, 4, blocks)
+    centers = frame(spark, {"T": m})
+    hits = topk.knn_candidates(centers, k, 40)
+    rows = hits.toPandas()
+    # Neighbours leave a task once a vector; the panels of others add at most k each.
+    spans = -(-blocks // 2)
+    assert len(rows) <= n * k * (blocks // 2 + spans) and not rows.duplicated(["src", "dst"]).any()
+    got = topk.knn(centers, k, 40).toPandas().sort_values(["src", "sim"], ascending=[True, False])
+    dst, _ = oracle.knn(m, k)
+    assert got["dst"].to_numpy().reshape(n, k).tolist() == dst.tolist()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1, "the order by side must serve the grouping"
+
+
+def test_panel_keeps_the_best_of_a_stream():
+    rng = np.random.default_rng(3)
+    left, right = np.round(random_units(30, 2, 10), 1), np.round(random_units(500, 2, 11), 1)
+    pos = rng.permutation(500)
+    panel = topk._Panel([(np.arange(1000, 1030), left)], 7, False)
+    back = []
+    for part in np.array_split(np.arange(500), 9):
+        order = part[np.argsort(pos[part])]
+        back += panel.meet(pos[order], right[order], True)
+    src, dst, sim = panel.found()
+    sims = np.rint(left @ right.T * topk.RESOLUTION)
+    for i in range(30):
+        want = sorted(range(500), key=lambda j: (-sims[i, j], pos[j]))[:7]
+        assert dst[src == 1000 + i].tolist() == pos[want].tolist()
+    src, dst = np.concatenate([x for x, _, _ in back]), np.concatenate([x for _, x, _ in back])
+    for j in range(500):
+        want = sorted(range(30), key=lambda i: (-sims[i, j], i))[:7]
+        assert sorted(dst[src == pos[j]] - 1000) == sorted(want)
+
+
 def test_between_sets(spark):
     q, d = random_units(23, 4, 6), random_units(31, 4, 7)
     make = lambda m: frame(spark, {"T": m}).selectExpr("target_id", "parent_pos as pos", "center as vec")

@@ -223,9 +223,9 @@ def knn_candidates(
     cores = centers.sparkSession.sparkContext.defaultParallelism
     side = _checked(side or _side_of(centers, "center"))
     sizes, fits = sizes or library_sizes(centers)
-    # Spans get shorter when there are fewer pairs of blocks than would keep all cores busy.
+    # Spans get shorter when there are fewer pairs of blocks than would keep all cores evenly busy.
     blocks = sizes.select("target_id", _block_count(F.col("n"), side, cores).alias("blocks")).withColumn(
-        "reach", F.least(F.lit(SPAN), F.greatest(F.lit(1), F.floor(F.col("blocks") * F.col("blocks") / F.lit(2 * cores)))).cast("int")
+        "reach", F.least(F.lit(SPAN), F.greatest(F.lit(1), F.floor(F.col("blocks") * F.col("blocks") / F.lit(16 * cores)))).cast("int")
     )
     placed = attach(
         centers.select("target_id", F.col("parent_pos").alias("pos"), F.col("center").alias("vec")),

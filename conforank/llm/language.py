@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import write_table
+from ..storage import attach, pin, write_table
 from .vocabulary import WordVectors, small_batches
 
 #: Character n-grams of words, with a mark at both ends, fall into so many buckets.
@@ -96,8 +96,8 @@ def train_language(docs: DataFrame, per_language: int = 3000) -> LanguageModel |
         F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("_u")
     )
     sizes = known.groupBy("lang").count()
-    share = sizes.select(F.col("lang").alias("_l"), (F.lit(per_language) / F.col("count") * 1_000_000).alias("_share"))
-    sample = known.join(share, F.col("lang") == F.col("_l")).where(F.col("_u") < F.col("_share")).select("lang", "text")
+    share, fits = pin(sizes.select("lang", (F.lit(per_language) / F.col("count") * 1_000_000).alias("_share")), 64, "language-sizes")
+    sample = attach(known, share, ["lang"], fits, ["text"]).where(F.col("_u") < F.col("_share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

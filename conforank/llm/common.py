@@ -11,6 +11,7 @@ import functools
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,7 @@ def alone(make: Callable) -> Callable:
         key = (make.__module__, make.__name__, args)
         if key not in _held:
             _held.clear()
+            pa.default_memory_pool().release_unused()
             _held[key] = make(*args)
         return _held[key]
 

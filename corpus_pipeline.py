@@ -41,8 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Identifiers in place of the text."""
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Identifiers in place of the text, in small batches: workers still hold memory of the stages before."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), batch_chars=500_000)
 
 
 STAGES = [

@@ -51,7 +51,7 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(sql.SUBSTRING_DEDUP)
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = dedup_sentence_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    out = dedup_sentence_runs(table(spark, folder, "documents").select("doc_id", "text"), alone_words=25)
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -25,8 +25,9 @@ units AS (SELECT doc_id, p, k, len(string_split(k, ' ')) AS w,
                  row_number() OVER (PARTITION BY doc_id ORDER BY p) AS u FROM keyed WHERE k <> ''),
 summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY u) AS upto FROM units),
 ends AS (SELECT a.doc_id, a.u, min(b.u) AS e FROM summed a JOIN summed b
-         ON a.doc_id = b.doc_id AND b.u BETWEEN a.u + 1 AND a.u + 9 AND b.upto - a.upto + a.w >= 10 GROUP BY ALL),
-runs AS (SELECT e.doc_id, e.u, min(x.p) AS first, max(x.p) AS last, string_agg(x.k, chr(2) ORDER BY x.u) AS k
+         ON a.doc_id = b.doc_id AND b.u BETWEEN a.u + 1 AND a.u + 9 AND b.upto - a.upto + a.w >= 10 GROUP BY ALL
+         UNION ALL SELECT doc_id, u, u FROM units WHERE w >= 25),
+runs AS (SELECT e.doc_id, e.u, e.e, min(x.p) AS first, max(x.p) AS last, string_agg(x.k, chr(2) ORDER BY x.u) AS k
          FROM ends e JOIN units x ON x.doc_id = e.doc_id AND x.u BETWEEN e.u AND e.e GROUP BY ALL),
 later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, first) AS n FROM runs) WHERE n > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS p FROM later)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import write_table
 from .common import SPACE, SPACES, ascii_lower, carried, let, restored
 from .line_dedup import without
 
@@ -72,9 +73,10 @@ def dedup_sentence_runs(
     ``docs`` with ``text`` shortened, ``n_sentences`` and ``n_removed``. What stays is unchanged,
     its own white space included.
 
-    Runs are counted by 96-bit hash with partial sums; only runs found twice or more are
-    looked up again, by a join that AQE can split, so a passage in a third of all documents
-    costs rows in proportion to its copies and never pairs of them.
+    One aggregate over the 96-bit hashes of runs, with partial results, gives each repeated run
+    its first place; the runs are cut a second time and meet that table in a join that AQE can
+    split, so a passage in a third of all documents costs rows in proportion to its copies and
+    never pairs of them.
 
     Null and empty texts have no sentence to remove (``n_sentences`` 0). Rows equal in doc_id
     and text are one document: none loses text to the other, and each is returned. Different
@@ -84,11 +86,11 @@ def dedup_sentence_runs(
     rows = carried(docs).withColumn("_sentences", F.split("_text", SENTENCE_END, -1))
     runs = rows.select("_id", "_hash", F.explode(_runs(F.col("_sentences"), min_sentences, min_words, alone_words)).alias("_r"))
     runs = runs.select("_id", "_hash", *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("first", "last", "key", "key2")])
-    often = runs.groupBy("_key", "_key2").count().where("count > 1").drop("count")
-    again = runs.join(often, ["_key", "_key2"], "left_semi")
     place = F.struct("_id", "_hash", "_first")
-    firsts = again.groupBy("_key", "_key2").agg(F.min(place).alias("_where"))
-    later = again.join(firsts, ["_key", "_key2"]).where(~place.eqNullSafe(F.col("_where")))
+    found = runs.groupBy("_key", "_key2").agg(F.count(F.lit(1)).alias("_times"), F.min(place).alias("_where"))
+    # Written, so that both sides of the join are plain shuffles, which AQE can split at a hot run.
+    firsts = write_table(found.where("_times > 1").drop("_times"), "repeated-runs")
+    later = runs.join(firsts, ["_key", "_key2"]).where(~place.eqNullSafe(F.col("_where")))
     hits = later.select(
         F.col("_id").alias("_hit"), F.col("_hash").alias("_hit_hash"), F.explode(F.sequence("_first", "_last")).alias("_p")
     )

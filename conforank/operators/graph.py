@@ -15,17 +15,22 @@ from .topk import knn, library_sizes
 HOT_DEGREE = 1_000_000
 # Steps of the walk planned as one query before its state is written.
 STEPS_PER_WRITE = 10
+# Episodes that walk in one row; a target with more of them has more rows per node.
+LANES = 16
+# Bytes of state that a task may hold in a hash table.
+HASH_BYTES = 64 * 1024 * 1024
 
 WEIGHT_FLOOR = 1e-12
 
 
 @dataclass
 class Graph:
-    """``edges`` (target_id, src, dst, salt, sim, w) and ``hot`` (target_id, dst,
-    salts): nodes whose incoming edges are split."""
+    """``edges`` (target_id, src, dst, salt, sim, w), ``hot`` (target_id, dst, salts):
+    nodes whose incoming edges are split, and how many nodes there are, if known."""
 
     edges: DataFrame
     hot: DataFrame | None
+    nodes: int | None = None
 
 
 def indegree(edges: DataFrame) -> DataFrame:
@@ -92,60 +97,93 @@ def build_graph(
 ) -> Graph:
     """Directed kNN graph over ``centers`` (target_id, parent_pos, center)."""
     sizes, fits = library_sizes(centers)
-    largest = sizes.agg(F.max("n")).first()[0]
+    largest, nodes = sizes.agg(F.max("n"), F.sum("n")).first()
     neighbours = write_table(knn(centers, neighbors, side, (sizes, fits)), "neighbours")
     edges, hot = weigh(neighbours, temperature, exponent, largest, hot_degree)
-    return Graph(write_table(edges, "edges"), hot)
-
-
-def propagate(graph: Graph, seeds: DataFrame, columns: list[str], restart: float, steps: int) -> DataFrame:
+    return Graph(write_table(edges, "edges"), hot, nodes)
+
+
+def propagate(
+    graph: Graph,
+    seeds: DataFrame,
+    columns: list[str],
+    restart: float,
+    steps: int,
+    part: str | None = None,
+    hash_bytes: int = HASH_BYTES,
+) -> DataFrame:
     """``s = restart*seed + (1-restart) * W s`` repeated; all ``columns`` walk together.
 
     ``seeds``: (target_id, pos, *columns). The state is sparse: it starts as the seeds
     and gains the nodes they reach; a node that is absent has state 0. A step joins
-    edges and state by destination and sums by source. The sums leave the state
-    partitioned as the next join wants it, and the edge side is the same exchange in
-    every step, so a query over many steps shuffles the edges once and then only
+    edges and state by destination and sums by source. The edge side is the same exchange
+    in every step, so a query over many steps shuffles the edges once and then only
     partial sums.
+
+    Edges stream through a hash table of the state, unsorted, where all nodes of a task fit
+    ``hash_bytes``; otherwise, or if their number is unknown, both sides are sorted.
+
+    With ``part``, a further column of the seeds, a node has one state per value of it, so
+    any number of episodes walks in plans of the same size; edges are still shuffled once,
+    and the state once more a step. Without it, the sums lie where the next join wants them.
     """
-    state = seeds = seeds.select("target_id", "pos", *columns)
+    kept = ["target_id", "pos", *([part] if part else []), *columns]
+    state = seeds = seeds.select(*kept)
+    parts = seeds.select(part).distinct().count() if part else 1
+    hashed = False
+    if graph.nodes is not None:
+        tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # A hashed row takes about 64 bytes beside its numbers; hashing fills tasks within a factor of two.
+        hashed = 2 * graph.nodes * parts * (64 + 8 * len(columns)) <= tasks * hash_bytes
     for done in range(0, steps, STEPS_PER_WRITE):
         count = min(STEPS_PER_WRITE, steps - done)
-        state = _walk(graph, seeds, state, columns, restart, count)
+        state = _walk(graph, seeds, state, columns, restart, count, part, hashed)
         if done + count < steps:
             state = write_table(state, f"walk-{done + count}")
     return state
 
 
-def _walk(graph: Graph, seeds: DataFrame, state: DataFrame, columns: list[str], restart: float, steps: int):
+def _walk(
+    graph: Graph,
+    seeds: DataFrame,
+    state: DataFrame,
+    columns: list[str],
+    restart: float,
+    steps: int,
+    part: str | None,
+    hashed: bool,
+) -> DataFrame:
     """``steps`` updates as one statement, so that it is analysed once."""
     on = ["target_id", "dst"] if graph.hot is None else ["target_id", "dst", "salt"]
     # The filter that joins would infer for some steps only; stated for all, it lets
     # every step read the same shuffle of the edges.
     present = " AND ".join(f"{c} IS NOT NULL" for c in [*on, "src"])
     edges = graph.edges.select(*on, "src", "w").where(present)
-    names = ", ".join(columns)
-    pulled = ", ".join(f"{1.0 - restart!r}D * e.w * s.{c} AS {c}" for c in columns)
-    seeded = ", ".join(f"{restart!r}D * {c} AS {c}" for c in columns)
+    carried = [part] if part else []
+    keys = ", ".join(["target_id", "pos", *carried])
+    names = ", ".join([*carried, *columns])
+    pulled = ", ".join([*(f"s.{c}" for c in carried), *(f"{1.0 - restart!r}D * e.w * s.{c} AS {c}" for c in columns)])
+    seeded = ", ".join([*carried, *(f"{restart!r}D * {c} AS {c}" for c in columns)])
     sums = ", ".join(f"sum({c}) AS {c}" for c in columns)
+    hint = "/*+ SHUFFLE_HASH(s) */" if hashed else ""
     source = "SELECT target_id, pos AS dst, {names} FROM {last}"
     if graph.hot is not None:
         source = (
             "SELECT target_id, dst, {names}, explode(sequence(0, coalesce(salts, 1) - 1)) AS salt"
             " FROM (SELECT target_id, pos AS dst, {names} FROM {last}) LEFT JOIN {{hot}} USING (target_id, dst)"
         )
-    parts, last = [], "{state}"
+    written, last = [], "{state}"
     for n in range(1, steps + 1):
-        parts.append(
+        written.append(
             f"""step_{n} AS (
-              SELECT target_id, pos, {sums} FROM (
-                SELECT e.target_id, e.src AS pos, {pulled}
+              SELECT {keys}, {sums} FROM (
+                SELECT {hint} e.target_id, e.src AS pos, {pulled}
                 FROM {{edges}} e JOIN ({source.format(names=names, last=last)}) s USING ({", ".join(on)})
                 UNION ALL SELECT target_id, pos, {seeded} FROM {{seeds}}
-              ) GROUP BY target_id, pos)"""
+              ) GROUP BY {keys})"""
         )
         last = f"step_{n}"
-    query = "WITH " + ", ".join(parts) + f" SELECT target_id, pos, {names} FROM {last}"
+    query = "WITH " + ", ".join(written) + f" SELECT target_id, pos, {names} FROM {last}"
     frames = {"edges": edges, "seeds": seeds, "state": state}
     if graph.hot is not None:
         frames["hot"] = graph.hot

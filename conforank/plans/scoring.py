@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import zscore
 from ..operators.episodes import episode_features
-from ..operators.graph import build_graph, propagate
+from ..operators.graph import LANES, build_graph, propagate
 from ..operators.references import check_references
 from ..operators.similarity import (
     FILTER_IDS,
@@ -133,24 +133,31 @@ def graph_scores(centers: DataFrame, refs: DataFrame, params: Params, side: int
     slot = F.row_number().over(Window.partitionBy("target_id").orderBy("seed", "k")) - 1
     episodes, fits = pin(numbered.withColumn("slot", slot), 128, "episode-slots")
     slots = int(episodes.agg(F.max("slot")).first()[0]) + 1
-    columns = [f"s{n}" for n in range(slots)]
+    # Slots go to lanes of a row, and to further rows of a node beyond LANES.
+    columns = [f"s{n}" for n in range(min(slots, LANES))]
+    part = "part" if slots > LANES else None
     placed = (
         refs.join(episodes, EPISODE_KEY)
         .join(centers.select("target_id", "parent_id", "parent_pos"), ["target_id", "parent_id"])
+        .select(
+            "target_id", F.col("parent_pos").alias("pos"), "size",
+            F.expr(f"slot div {LANES}").cast("int").alias("part"), (F.col("slot") % LANES).alias("lane"),
+        )
     )
-    seeds = placed.groupBy("target_id", F.col("parent_pos").alias("pos")).agg(
+    seeds = placed.groupBy("target_id", "pos", "part").agg(
         *[
-            F.sum(F.when(F.col("slot") == n, F.lit(1.0) / F.col("size")).otherwise(0.0)).alias(c)
+            F.sum(F.when(F.col("lane") == n, F.lit(1.0) / F.col("size")).otherwise(0.0)).alias(c)
             for n, c in enumerate(columns)
         ]
     )
-    seeds, _ = pin(seeds, 64 + 8 * slots, "seeds")
+    seeds, _ = pin(seeds, 64 + 8 * len(columns), "seeds")
     state = propagate(
-        graph, seeds, columns, params.graph_restart_probability, params.graph_propagation_steps
+        graph, seeds, columns, params.graph_restart_probability, params.graph_propagation_steps, part
     )
+    row = F.col("part") if part else F.lit(0)
     long = state.select(
-        "target_id", F.col("pos").alias("parent_pos"), F.posexplode(F.array(*columns)).alias("slot", "walk")
-    )
+        "target_id", F.col("pos").alias("parent_pos"), row.alias("part"), F.posexplode(F.array(*columns)).alias("lane", "walk")
+    ).withColumn("slot", F.col("part") * LANES + F.col("lane"))
     keyed = episodes.select(*EPISODE_KEY, "slot")
     if fits:
         keyed = F.broadcast(keyed)

@@ -118,7 +118,12 @@ def test_graph_and_walk(spark, hot_degree):
         state = seed
         for _ in range(steps):
             state = 0.2 * seed + 0.8 * w @ state
-        got = g.propagate(graph, seeds, ["s0", "s1"], 0.2, steps).toPandas().set_index("pos")
-        assert got.index.is_unique
-        got = got.reindex(range(len(m)), fill_value=0.0)
-        np.testing.assert_allclose(got[["s0", "s1"]], state, atol=1e-12)
+        for room in (g.HASH_BYTES, 0):
+            got = g.propagate(graph, seeds, ["s0", "s1"], 0.2, steps, hash_bytes=room).toPandas().set_index("pos")
+            assert got.index.is_unique
+            got = got.reindex(range(len(m)), fill_value=0.0)
+            np.testing.assert_allclose(got[["s0", "s1"]], state, atol=1e-12)
+    parts = seeds.selectExpr("target_id", "pos", "explode(array(0, 1)) AS part", "s0", "s1")
+    parts = parts.selectExpr("target_id", "pos", "part", "IF(part = 0, s0, s1) AS s0")
+    got = g.propagate(graph, parts, ["s0"], 0.2, 12, "part").toPandas().pivot(index="pos", columns="part", values="s0")
+    np.testing.assert_allclose(got.reindex(range(len(m))).fillna(0.0), state, atol=1e-12)

@@ -17,8 +17,10 @@ HOT_DEGREE = 1_000_000
 STEPS_PER_WRITE = 10
 # Episodes that walk in one row; a target with more of them has more rows per node.
 LANES = 16
-# Bytes of state that a task may hold in a hash table.
+# Bytes of state that a task may hold in a hash table; a whole state of SMALL_STATE is left
+# to AQE, which broadcasts it by its measured size.
 HASH_BYTES = 64 * 1024 * 1024
+SMALL_STATE = 10 * 1024 * 1024
 
 WEIGHT_FLOOR = 1e-12
 
@@ -121,7 +123,8 @@ def propagate(
     partial sums.
 
     Edges stream through a hash table of the state, unsorted, where all nodes of a task fit
-    ``hash_bytes``; otherwise, or if their number is unknown, both sides are sorted.
+    ``hash_bytes``. A larger state, or one of unknown size, is sorted like the edges, and a
+    small one left to AQE.
 
     With ``part``, a further column of the seeds, a node has one state per value of it, so
     any number of episodes walks in plans of the same size; edges are still shuffled once,
@@ -134,7 +137,8 @@ def propagate(
     if graph.nodes is not None:
         tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # A hashed row takes about 64 bytes beside its numbers; hashing fills tasks within a factor of two.
-        hashed = 2 * graph.nodes * parts * (64 + 8 * len(columns)) <= tasks * hash_bytes
+        size = graph.nodes * parts * (64 + 8 * len(columns))
+        hashed = SMALL_STATE < size <= tasks * hash_bytes // 2
     for done in range(0, steps, STEPS_PER_WRITE):
         count = min(STEPS_PER_WRITE, steps - done)
         state = _walk(graph, seeds, state, columns, restart, count, part, hashed)

@@ -1,3 +1,5 @@
+import dataclasses
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -118,8 +120,9 @@ def test_graph_and_walk(spark, hot_degree):
         state = seed
         for _ in range(steps):
             state = 0.2 * seed + 0.8 * w @ state
-        for room in (g.HASH_BYTES, 0):
-            got = g.propagate(graph, seeds, ["s0", "s1"], 0.2, steps, hash_bytes=room).toPandas().set_index("pos")
+        for nodes in (45, 1_000_000):  # a small state, and one that is hashed
+            sized = dataclasses.replace(graph, nodes=nodes)
+            got = g.propagate(sized, seeds, ["s0", "s1"], 0.2, steps).toPandas().set_index("pos")
             assert got.index.is_unique
             got = got.reindex(range(len(m)), fill_value=0.0)
             np.testing.assert_allclose(got[["s0", "s1"]], state, atol=1e-12)

@@ -49,10 +49,10 @@ def test_no_cross_joins(spark, sf, monkeypatch):
 
 
 def ring(spark, n):
-    """A written graph in which every node has edges to the next two."""
+    """A written graph in which every node has edges to the next two; it is said to have a million nodes."""
     rows = [("T", i, (i + d) % n, 0, 0.5, 0.5) for i in range(n) for d in (1, 2)]
     edges = spark.createDataFrame(rows, "target_id string, src long, dst long, salt int, sim double, w double")
-    return g.Graph(g.write_table(edges, "ring"), None, n)
+    return g.Graph(g.write_table(edges, "ring"), None, 1_000_000)
 
 
 def executed(df):
@@ -68,8 +68,9 @@ def test_walk_steps_do_not_sort_or_move_edges(spark):
         text = executed(g.propagate(ring(spark, 50), seeds, ["s0"], 0.2, 9))
         assert text.count("ShuffledHashJoin") == 9 and "Sort" not in text.replace("SortAggregate", "")
         assert text.count("FileScan parquet") == 1 and text.count("ReusedExchange") == 8  # edges are read and dealt once
-        unsized = g.Graph(ring(spark, 50).edges, None)
+        unsized, tight = g.Graph(ring(spark, 50).edges, None), {"hash_bytes": 1 << 20}
         assert "ShuffledHashJoin" not in executed(g.propagate(unsized, seeds, ["s0"], 0.2, 2))
+        assert "ShuffledHashJoin" not in executed(g.propagate(ring(spark, 50), seeds, ["s0"], 0.2, 2, **tight))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

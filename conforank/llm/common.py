@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections.abc import Callable
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,23 +70,30 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-_held: dict[tuple, object] = {}
+#: Module entry of what a process remembers. Task functions bring copies of this package's globals,
+#: new ones for each task and filled with the driver's values; only the interpreter's modules stay.
+HELD = "_conforank_held"
+
+
+def _held() -> dict[tuple, object]:
+    return vars(sys.modules.setdefault(HELD, ModuleType(HELD))).setdefault("things", {})
 
 
 def alone(make: Callable) -> Callable:
     """Cache of what ``make`` gives; a process keeps one such thing, of any maker, and lets the last one go.
 
-    Python workers live on from stage to stage, so what an operator remembers would stay beside
-    the next one's.
+    Each process makes its own: nothing of the driver's is sent with a task. Python workers live
+    on from task to task and stage to stage, so what an operator remembers would stay beside the
+    next one's.
     """
 
     @functools.wraps(make)
     def get(*args):
-        key = (make.__module__, make.__name__, args)
-        if key not in _held:
-            _held.clear()
+        held, key = _held(), (make.__module__, make.__name__, args)
+        if key not in held:
+            held.clear()
             pa.default_memory_pool().release_unused()
-            _held[key] = make(*args)
-        return _held[key]
+            held[key] = make(*args)
+        return held[key]
 
     return get

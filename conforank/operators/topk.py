@@ -8,8 +8,9 @@ Within one set the blocks stand in a circle and a panel meets the half that foll
 a pair of blocks is multiplied once, and the same product also gives the streamed rows
 their best k of the panel. With n vectors of a target in b blocks, a vector is sent
 about b / 2 + b / (2 * SPAN) times, and as many times k candidates of it are merged. All
-n^2 / 2 products are formed, as the result is exact. A task holds its panel, one Arrow
-batch and one product of PRODUCT_BYTES, and reads at most SPAN + 1 blocks.
+n^2 / 2 products are formed, as the result is exact. A task holds its panel with the k
+partners of each row (BLOCK_BYTES together; the vectors twice while they are put in order),
+one Arrow batch and a few arrays of PRODUCT_BYTES, and reads at most SPAN + 1 blocks.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql.window import Window
 from ..functions.arrow import to_matrix
 from ..storage import attach, pin
 
-# Bytes of vectors in a block, of one product held at a time, and the smallest block
+# Bytes of a block with its partners, of one product held at a time, and the smallest block
 # worth a task of its own.
 BLOCK_BYTES = 64 * 1024 * 1024
-PRODUCT_BYTES = 64 * 1024 * 1024
+PRODUCT_BYTES = 16 * 1024 * 1024
 SMALL_SIDE = 512
+# Results that leave a task in one Arrow batch.
+FOUND_HITS = 200_000
 # Blocks that a task reads beside its panel.
 SPAN = 8
 # A similarity in [-1, 1] is held as an integer of this resolution above the column
@@ -47,14 +50,20 @@ NEVER = np.iinfo(np.int64).min
 def _best_keys(sims: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
     """Keys of the best ``k`` columns per row, in no order; NEVER for the column ``skip`` of a row."""
     rows, cols = sims.shape
-    keys = np.rint(sims * RESOLUTION).astype(np.int64) << COLUMN_BITS
+    scaled = sims * RESOLUTION
+    keys = np.rint(scaled, out=scaled).astype(np.int64)
+    del scaled
+    keys <<= COLUMN_BITS
     keys += (1 << COLUMN_BITS) - 1 - np.arange(cols, dtype=np.int64)
     if skip is not None:
         keys[np.arange(rows), skip] = NEVER
     take = min(k, cols)
     if take == 0:
         return keys[:, :0]
-    return np.partition(keys, cols - take, axis=1)[:, cols - take :] if take < cols else keys
+    if take == cols:
+        return keys
+    keys.partition(cols - take, axis=1)
+    return keys[:, cols - take :].copy()  # a view would keep all columns
 
 
 def _column(keys: np.ndarray) -> np.ndarray:
@@ -73,9 +82,9 @@ def best_columns(sims: np.ndarray, k: int, skip: np.ndarray | None = None):
     return row, _column(chosen), (chosen >> COLUMN_BITS) / RESOLUTION
 
 
-def block_side(width: int) -> int:
-    """Vectors per block for vectors of this width."""
-    return min(max(SMALL_SIDE, BLOCK_BYTES // (8 * width)), 1 << COLUMN_BITS)
+def block_side(width: int, k: int = 0) -> int:
+    """Vectors per block for vectors of this width that keep ``k`` partners each."""
+    return min(max(SMALL_SIDE, BLOCK_BYTES // (8 * width + 16 * k)), 1 << COLUMN_BITS)
 
 
 def _sorted_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -95,33 +104,41 @@ class _Panel:
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], k: int, own: bool):
         self.k = k
         self.pos = np.concatenate([p for p, _ in parts]) if parts else np.empty(0, np.int64)
+        self.vectors = np.concatenate([v for _, v in parts]) if parts else np.empty((0, 0))
+        parts.clear()
         order = np.argsort(self.pos, kind="stable")
-        self.pos = self.pos[order]
-        self.vectors = np.concatenate([v for _, v in parts])[order] if parts else np.empty((0, 0))
+        self.pos, self.vectors = self.pos[order], self.vectors[order]
         self.chunk = max(1, PRODUCT_BYTES // (8 * max(1, len(self.pos))))
         self.sims = np.empty((len(self.pos), 0), np.int64)
         self.partners = np.empty((len(self.pos), 0), np.int64)
         if own and len(self.pos):
             self._meet_itself()
 
+    def _widen(self, offered: int) -> None:
+        """Room for ``offered`` more partners a row, up to k."""
+        wide = min(self.k, self.sims.shape[1] + offered)
+        sims, partners = np.empty((2, len(self.pos), wide), np.int64)
+        sims[:, : self.sims.shape[1]], partners[:, : self.sims.shape[1]] = self.sims, self.partners
+        self.sims, self.partners = sims, partners
+
     def _meet_itself(self) -> None:
-        keys = []
+        self._widen(min(self.k, len(self.pos)))
         for start in range(0, len(self.pos), self.chunk):
             part = self.vectors[start : start + self.chunk] @ self.vectors.T
-            keys.append(_best_keys(part, self.k, np.arange(start, start + len(part))))
-        self._offer(np.arange(len(self.pos)), np.concatenate(keys), self.pos)
-
-    def _offer(self, rows: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> None:
-        """Merge candidates of some rows; all rows as long as a row has fewer than k."""
-        met = keys != NEVER
-        sims = np.concatenate([self.sims[rows], keys >> COLUMN_BITS], axis=1)
-        partners = np.concatenate([self.partners[rows], pos[np.where(met, _column(keys), 0)]], axis=1)
-        best = np.lexsort((partners, -sims), axis=-1)[:, : self.k]
-        sims, partners = np.take_along_axis(sims, best, 1), np.take_along_axis(partners, best, 1)
-        if len(rows) == len(self.pos):
-            self.sims, self.partners = sims, partners
-        else:
-            self.sims[rows], self.partners[rows] = sims, partners
+            rows = np.arange(start, start + len(part))
+            self._offer(rows, 0, _best_keys(part, self.k, rows), self.pos)
+
+    def _offer(self, rows: np.ndarray, held: int, keys: np.ndarray, pos: np.ndarray) -> None:
+        """Merge candidates of some rows, which have ``held`` partners."""
+        step = max(1, PRODUCT_BYTES // (64 * max(1, held + keys.shape[1])))
+        for start in range(0, len(rows), step):
+            own, new = rows[start : start + step], keys[start : start + step]
+            sims = np.concatenate([self.sims[own, :held], new >> COLUMN_BITS], axis=1)
+            places = np.where(new != NEVER, _column(new), 0)
+            partners = np.concatenate([self.partners[own, :held], pos[places]], axis=1)
+            best = np.lexsort((partners, -sims), axis=-1)[:, : self.k]
+            self.sims[own] = np.take_along_axis(sims, best, 1)
+            self.partners[own] = np.take_along_axis(partners, best, 1)
 
     def meet(self, pos: np.ndarray, vectors: np.ndarray, mutual: bool) -> Iterator[tuple]:
         """Take in the partners ``pos``; gives (src, dst, sim) of theirs in return if ``mutual``."""
@@ -133,16 +150,20 @@ class _Panel:
             if mutual:
                 row, col, sim = best_columns(part, self.k)
                 yield here[row], self.pos[col], sim
-            if self.sims.shape[1] < self.k:
+            held = self.sims.shape[1]
+            if held < self.k:
                 rows = np.arange(len(self.pos))
+                self._widen(min(self.k, len(part)))
             else:  # most rows have k better partners after a few chunks
                 rows = np.flatnonzero(part.max(axis=0) * RESOLUTION >= self.sims[:, -1] - 1)
             if len(rows):
-                self._offer(rows, _best_keys(part.T[rows], self.k), here)
+                self._offer(rows, held, _best_keys(part.T[rows], self.k), here)
 
-    def found(self) -> tuple:
-        row, slot = np.nonzero(self.sims != NEVER >> COLUMN_BITS)
-        return self.pos[row], self.partners[row, slot], self.sims[row, slot] / RESOLUTION
+    def found(self, rows: slice = slice(None)) -> tuple:
+        """(src, dst, sim) of some rows of the panel."""
+        sims, partners = self.sims[rows], self.partners[rows]
+        row, slot = np.nonzero(sims != NEVER >> COLUMN_BITS)
+        return self.pos[rows][row], partners[row, slot], sims[row, slot] / RESOLUTION
 
 
 def _panel_task(k: int, within: bool):
@@ -170,7 +191,9 @@ def _panel_task(k: int, within: bool):
                 for hits in panel.meet(*_sorted_rows(batch.slice(split)), within):
                     yield batch_of(target, *hits)
         panel = panel or _Panel(parts, k, own)
-        yield batch_of(target, *panel.found())
+        step = max(1, FOUND_HITS // max(1, k))
+        for start in range(0, max(1, len(panel.pos)), step):
+            yield batch_of(target, *panel.found(slice(start, start + step)))
 
     return run
 
@@ -221,7 +244,7 @@ def knn_candidates(
     if k < 0:
         raise ValueError("the number of neighbours must not be negative")
     cores = centers.sparkSession.sparkContext.defaultParallelism
-    side = _checked(side or _side_of(centers, "center"))
+    side = _checked(side or _side_of(centers, "center", k))
     sizes, fits = sizes or library_sizes(centers)
     # Spans get shorter when there are fewer pairs of blocks than would keep all cores evenly busy.
     blocks = sizes.select("target_id", _block_count(F.col("n"), side, cores).alias("blocks")).withColumn(
@@ -260,14 +283,14 @@ def _checked(side: int) -> int:
     return side
 
 
-def _side_of(df: DataFrame, column: str) -> int:
+def _side_of(df: DataFrame, column: str, k: int) -> int:
     row = df.select(F.size(column)).first()
-    return block_side(row[0] if row else 1)
+    return block_side(row[0] if row else 1, k)
 
 
 def topk_between(queries: DataFrame, data: DataFrame, k: int, side: int | None = None) -> DataFrame:
     """Best k of ``data`` for each of ``queries``, both (target_id, pos, vec) of unit length."""
-    side = _checked(side or _side_of(data, "vec"))
+    side = _checked(side or _side_of(data, "vec", k))
 
     def sized(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("target_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).cast("int").alias(name))

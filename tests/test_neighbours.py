@@ -1,4 +1,5 @@
 import dataclasses
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -130,3 +131,28 @@ def test_graph_and_walk(spark, hot_degree):
     parts = parts.selectExpr("target_id", "pos", "part", "IF(part = 0, s0, s1) AS s0")
     got = g.propagate(graph, parts, ["s0"], 0.2, 12, "part").toPandas().pivot(index="pos", columns="part", values="s0")
     np.testing.assert_allclose(got.reindex(range(len(m))).fillna(0.0), state, atol=1e-12)
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 40])
+def test_panel_memory_follows_its_rows(monkeypatch, chunks):
+    """A panel of n rows holds their partners, not n x n similarities, and finds the best ones."""
+    n, met, k = 1500, 700, 6
+    m = random_units(n + met, 8, 3)
+    monkeypatch.setattr(topk, "PRODUCT_BYTES", 1 << 18)
+    pos = np.random.default_rng(1).permutation(n + met)
+    tracemalloc.start()
+    panel = topk._Panel([(pos[:n], m[pos[:n]])], k, True)
+    for at in np.array_split(pos[n:], chunks):
+        for _ in panel.meet(at, m[at], True):
+            pass
+    src, dst, sim = panel.found()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n  # all similarities of the panel to itself are eight times that
+    assert len(src) == n * k
+    sims = m @ m.T
+    np.fill_diagonal(sims, -2)
+    for p in pos[:n:50]:
+        best = np.argsort(-sims[p], kind="stable")[:k]
+        assert dst[src == p].tolist() == best.tolist()
+        np.testing.assert_allclose(sim[src == p], sims[p, best], atol=1e-10)

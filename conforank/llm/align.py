@@ -26,6 +26,8 @@ BATCH_CHARS = 250_000
 #: Irregular pairs whose counts every executor holds, the most frequent ones: 16 bytes each. The
 #: others are joined by a shuffle; any number gives the same result.
 HELD_PAIRS = 500_000
+#: Links whose counts are looked up at once; a row of more is alone.
+LOOKED_LINKS = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -230,6 +232,42 @@ def _held(counts: DataFrame, held_pairs: int) -> tuple[np.ndarray, int]:
     return np.stack([packed[order], value.astype(np.int64)[order]]), lowest
 
 
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows that have at most ``limit`` links beside those of their first row."""
+    ends = (np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1).tolist()
+    for start, end in zip([0, *ends], [*ends, len(sizes)]):
+        yield start, end - start
+
+
+def _looked_up(regular: pa.ListArray, irregular: pa.ListArray, vector: np.ndarray, names: np.ndarray, values: np.ndarray) -> pa.StructArray:
+    """n_links, n_best and count_sum of each row by the counts held, and its pairs without one; ``LOOKED_LINKS`` at once."""
+
+    def row_sums(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Links, best links and counts of each row."""
+        total = np.zeros((3, len(value) + 1), np.int64)
+        for row, part in zip(total, (value > 0, value & 1, value >> 1)):
+            np.cumsum(part, out=row[1:])
+        return np.diff(total[:, ends], axis=1)
+
+    def run(regular: pa.ListArray, irregular: pa.ListArray) -> pa.StructArray:
+        ids, id_ends = _flat_rows(regular)
+        pairs, pair_ends = _flat_rows(irregular)
+        at = np.searchsorted(names, pairs)
+        known = np.zeros(len(pairs), bool)
+        value = np.zeros(len(pairs), np.int64)
+        if len(names):
+            at = np.minimum(at, len(names) - 1)
+            known = names[at] == pairs
+            value[known] = values[at[known]]
+        sums = row_sums(vector[ids], id_ends) + row_sums(value, pair_ends)
+        sums[0] = np.diff(id_ends) + np.diff(pair_ends)
+        rare = _lists(pairs[~known], np.concatenate([[0], np.cumsum(~known)])[pair_ends])
+        return pa.StructArray.from_arrays([*map(pa.array, sums), rare], ["n_links", "n_best", "count_sum", "rare"])
+
+    sizes = sum(x.value_lengths().to_numpy(zero_copy_only=False) for x in (regular, irregular))
+    return pa.concat_arrays([run(regular.slice(*r), irregular.slice(*r)) for r in _runs(sizes, LOOKED_LINKS)])
+
+
 def score_links(groups: DataFrame, counts: DataFrame, path_a: str, path_b: str, held_pairs: int = HELD_PAIRS) -> DataFrame:
     """n_links, n_best and count_sum of each row of ``groups``, in place of its links; ``_row`` tells rows apart.
 
@@ -246,27 +284,8 @@ def score_links(groups: DataFrame, counts: DataFrame, path_a: str, path_b: str,
     @F.arrow_udf("n_links long, n_best long, count_sum long, rare array<long>")
     def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         vector, (names, values) = sent.value
-
-        def row_sums(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            """Links, best links and counts of each row."""
-            total = np.zeros((3, len(value) + 1), np.int64)
-            np.cumsum(np.stack([value > 0, value & 1, value >> 1]), axis=1, out=total[:, 1:])
-            return np.diff(total[:, ends], axis=1)
-
         for regular, irregular in batches:
-            ids, id_ends = _flat_rows(regular)
-            pairs, pair_ends = _flat_rows(irregular)
-            at = np.searchsorted(names, pairs)
-            known = np.zeros(len(pairs), bool)
-            value = np.zeros(len(pairs), np.int64)
-            if len(names):
-                at = np.minimum(at, len(names) - 1)
-                known = names[at] == pairs
-                value[known] = values[at[known]]
-            sums = row_sums(vector[ids], id_ends) + row_sums(value, pair_ends)
-            sums[0] = np.diff(id_ends) + np.diff(pair_ends)
-            rare = _lists(pairs[~known], np.concatenate([[0], np.cumsum(~known)])[pair_ends])
-            yield pa.StructArray.from_arrays([*map(pa.array, sums), rare], ["n_links", "n_best", "count_sum", "rare"])
+            yield _looked_up(regular, irregular, vector, names, values)
 
     scored = groups.withColumn("_s", look(*LINKS)).drop(*LINKS)
     scored = write_table(scored.select("*", "_s.*").drop("_s"), "align-scored")

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("conforank.llm")
@@ -109,3 +112,23 @@ def test_alignment_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want, _, _ = brute([d.text or "" for d in docs])
     assert got == {d.doc_id: w for d, w in zip(docs, want)}
+
+
+def test_links_are_looked_up_in_runs(monkeypatch):
+    rng, rows = np.random.default_rng(1), 600
+    regular, irregular = (
+        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * wide), pa.array(rng.integers(0, 1000, rows * wide).astype(kind)))
+        for wide, kind in ((1000, np.int32), (200, np.int64))
+    )
+    held = rng.integers(1, 99, 1000), np.arange(0, 1000, 2), rng.integers(2, 99, 500)
+    peaks, found = [], []
+    for links in (10**9, 20_000, 1):
+        monkeypatch.setattr(align, "LOOKED_LINKS", links)
+        tracemalloc.start()
+        found.append(align._looked_up(regular, irregular, *held))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert found[0].equals(found[1]) and found[0].equals(found[2])
+    assert peaks[1] < peaks[0] / 5
+    none = align._looked_up(regular.slice(0, 0), irregular.slice(0, 0), *held)
+    assert len(none) == 0 and none.type == found[0].type

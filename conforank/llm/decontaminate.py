@@ -21,6 +21,8 @@ BITS, BLOCKS, RADIUS = 64, 8, 15
 #: Characters of items handled in one pass over the documents.
 ITEM_CHARS = 32_000_000
 _PROBES = np.concatenate([[0], 1 << np.arange(8)]).astype(np.uint8)
+#: Items looked up at once for the windows of a text; a window with more is alone.
+LOOKED_UP = 250_000
 
 
 class PlainHashes(dict):
@@ -88,11 +90,18 @@ class ItemIndex:
         self.ids, self.sets = [i for i, _ in kept], [s for _, s in kept]
         self.prints = np.array([self.fingerprint(s) for s in self.sets], np.uint64).reshape(-1)
         self.all = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
-        self.sizes: dict[int, list[dict[int, list[int]]]] = {}
+        by_size: dict[int, list[int]] = {}
         for k, s in enumerate(self.sets):
-            blocks = self.sizes.setdefault(len(s), [{} for _ in range(BLOCKS)])
-            for b, value in enumerate(self.prints[k : k + 1].view(np.uint8)):
-                blocks[b].setdefault(int(value), []).append(k)
+            by_size.setdefault(len(s), []).append(k)
+        self.sizes = {size: self._cells(np.array(ks)) for size, ks in by_size.items()}
+
+    def _cells(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items by block and byte, in each byte of theirs and those one bit away, and where each byte's begin."""
+        blocks = self.prints[items].astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        cells = (blocks[:, :, None] ^ _PROBES).astype(np.int64) + 256 * np.arange(BLOCKS)[:, None]
+        order = np.argsort(cells, axis=None, kind="stable")
+        starts = np.searchsorted(cells.ravel()[order], np.arange(256 * BLOCKS + 1))
+        return items[order // (BLOCKS * len(_PROBES))].astype(np.int32), starts
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(len(shingles), self.other)
@@ -108,13 +117,18 @@ class ItemIndex:
 
     def near(self, size: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) of one size within ``RADIUS``."""
-        blocks = self.sizes[size]
-        parts = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        for w in range(len(prints)):
-            found = {k for b in range(BLOCKS) for v in parts[w, b] ^ _PROBES for k in blocks[b].get(int(v), ())}
-            for k in found:
-                if int(prints[w] ^ self.prints[k]).bit_count() <= RADIUS:
-                    yield w, k
+        items, starts = self.sizes[size]
+        cells = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS) + 256 * np.arange(BLOCKS)
+        counts = starts[cells + 1] - starts[cells]
+        upto = np.cumsum(counts.sum(1)) // LOOKED_UP
+        ends = (np.flatnonzero(np.diff(upto)) + 1).tolist()
+        for low, high in zip([0, *ends], [*ends, len(prints)]):
+            n = counts[low:high].ravel()
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = items[np.repeat(starts[cells[low:high]].ravel(), n) + offset]
+            window = np.repeat(np.arange(low, high), counts[low:high].sum(1))
+            close = np.bitwise_count(prints[window] ^ self.prints[found]) <= RADIUS
+            yield from sorted(set(zip(window[close].tolist(), found[close].tolist())))
 
     def matches(self, text: str | None, hashes: PlainHashes, num: int, den: int) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): the best window of the text for each item found."""

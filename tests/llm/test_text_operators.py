@@ -2,6 +2,7 @@
 
 import collections
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -275,6 +276,26 @@ def test_decontamination(spark):
     assert decontaminate.find_items(docs.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("looked_up", [decontaminate.LOOKED_UP, 3])
+def test_fingerprints_are_looked_up_together(monkeypatch, looked_up):
+    monkeypatch.setattr(decontaminate, "LOOKED_UP", looked_up)
+    rng = np.random.default_rng(3)
+    items = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(20)) for _ in range(30)]
+    index = decontaminate.ItemIndex([*range(30)], items, (np.zeros(0, np.uint64), np.zeros(0), 1.0))
+    flips = [sum(1 << int(b) for b in rng.choice(64, n, False)) for n in rng.integers(0, 25, 300)]
+    prints = np.array([int(index.prints[i % 30]) ^ f for i, f in enumerate(flips)], np.uint64)
+    want = {(w, k) for w, p in enumerate(prints) for k, q in enumerate(index.prints) if int(p ^ q).bit_count() <= decontaminate.RADIUS}
+    assert set(index.near(16, prints)) == want and len(want) > 100
+    assert list(index.near(16, prints[:0])) == []
+    calls = []
+    sys.setprofile(lambda _, event, __: calls.append(event))
+    try:
+        list(index.near(16, np.tile(~index.prints, 100)))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 3000 or looked_up == 3  # 72 look-ups for each of 3,000 windows before
+
+
 def test_codewords():
     for n in (2, 4, 7, 9, 20):
         code = language.codewords(n)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -104,15 +106,16 @@ class PieceCodec:
         self.number = np.array([self.ids[p] for p in self.normal])
         self.cache: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.made: dict[str, tuple[str, str] | None] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """The merges as such: best score first, then leftmost. For short strings and runs of spaces."""
+    def merge(self, text: str, but: str | None = None) -> list[str]:
+        """The merges as such: best score first, then leftmost, none to ``but``. For short strings and runs of spaces."""
         parts = list(text)
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (s := self.scores.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-s, i, parts[i] + parts[j]))
+            if i >= 0 and j >= 0 and (s := self.scores.get(whole := parts[i] + parts[j])) is not None and whole != but:
+                heapq.heappush(heap, (-s, i, whole))
 
         heap: list[tuple[float, int, str]] = []
         for i in range(len(parts) - 1):
@@ -129,6 +132,37 @@ class PieceCodec:
             offer(i, after[i])
         return [p for p in parts if p]
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The last two pieces that merge to this one; two empty ones for a character, None if merges of its text end otherwise."""
+        known = self.made.get(piece, 0)
+        if known == 0:
+            parts = self.merge(piece, piece) if len(piece) > 1 else ["", ""]
+            known = self.made[piece] = tuple(parts) if len(parts) == 2 else None
+        return known
+
+    def stay(self, left: str, right: str) -> bool:
+        """Do the merges of two pieces, neither made of spaces only, leave them? Their last merges are taken back, the later one first.
+
+        A merge across the border that comes before the ones taken back is one that they do not get to.
+        """
+        a, b, score, made = left, right, self.scores.get, self.halves
+        if made(left) is None or made(right) is None:
+            return False
+        lowest, first = -math.inf, False  # a merge must be above this score, or not below it where it is the leftmost
+        while True:
+            across = score(a + b)
+            if across is not None and (across > lowest or first and across == lowest):
+                return False
+            rank_a = score(a) if len(a) > 1 else math.inf
+            rank_b = score(b) if len(b) > 1 else math.inf
+            if rank_a == rank_b == math.inf:
+                return True
+            # Of equal merges the left one comes first, so the right one is the later.
+            if rank_a < rank_b:
+                lowest, first, a = rank_a, False, made(a)[1]
+            else:
+                lowest, first, b = rank_b, True, made(b)[0]
+
     def apart(self, left: int, right: int) -> bool:
         """Do two pieces next to each other stay as they are?"""
         pair = left << 32 | right
@@ -137,7 +171,7 @@ class PieceCodec:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             a, b = self.texts[left], self.texts[right]
-            known = self.pairs[pair] = self.merge(a + b) == [a, b]
+            known = self.pairs[pair] = self.stay(a, b) if a.strip("▁") and b.strip("▁") else self.merge(a + b) == [a, b]
         return known
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +235,9 @@ class PieceCodec:
             out.append(ids[::-1])
         return out
 
-    def numbers(self, parts: Iterable[int]) -> list[int]:
+    def numbers(self, parts: list[int]) -> list[int]:
+        if not parts or min(parts) >= 0:
+            return parts
         out: list[int] = []
         for p in parts:
             out += [p] if p >= 0 else [self.bytes[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
@@ -222,7 +258,7 @@ class PieceCodec:
                 ids = spaces(k if single else k - 1) + ids[single:] if k > 1 else ids
             elif k:
                 ids = spaces(k)
-            out[s] = np.array(self.numbers(ids), np.int32).tobytes()
+            out[s] = array("i", self.numbers(ids)).tobytes()
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -79,6 +79,21 @@ def test_pieces_query_decodes(spark, sf, tmp_path):
     assert coder.decode_batch(lists) == want and coder.decode_batch(lists[2:]) == want[2:] and coder.decode_batch(lists[:2]) == want[:2]
 
 
+def test_pieces_stay_apart_without_merging(monkeypatch):
+    coder = pieces.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    rnd = random.Random(2)
+    names = [p for p in coder.normal if p.strip("▁")]
+    short = [p for p in names if len(p) <= 3]
+    pairs = [tuple(rnd.choices(names, k=2)) for _ in range(2000)] + [tuple(rnd.choices(short, k=2)) for _ in range(2000)]
+    pairs += [(p[:i], p[i:]) for p in rnd.sample(names, 1000) for i in range(1, len(p)) if p[:i] in coder.ids and p[i:] in coder.ids and p[:i] != "▁"]
+    pairs += [(p, p) for p in short] + [("▁", "a"), ("▁▁", "the"), ("▁", "▁"), ("a", "▁▁")]
+    want = [coder.merge(a + b) == [a, b] for a, b in pairs]
+    assert [coder.apart(coder.ids[a], coder.ids[b]) for a, b in pairs] == want and 500 < sum(want) < len(want) - 500
+    coder.pairs.clear()
+    monkeypatch.setattr(coder, "merge", None)  # a pair that was not met before needs no merges where its pieces were
+    assert [coder.apart(coder.ids[a], coder.ids[b]) for a, b in pairs[:-4]] == want[:-4]
+
+
 def test_language(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("held", language.held_out(F.col("doc_id")))

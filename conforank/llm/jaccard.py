@@ -104,6 +104,13 @@ def _counted(n: int, num: int, den: int) -> int:
     return allowed(n, num, den) * 3 // 2 + 8
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``known``?"""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _size_class(n: int, num: int, den: int) -> int:
     return int(math.floor(math.log(n) / math.log(den / num) + 1e-9))
 
@@ -136,9 +143,11 @@ def _prefix(rare: np.ndarray, often: np.ndarray, buckets: tuple[int, ...], need:
     return np.unique(np.concatenate(out)), False
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray, bool, bool]:
     """Signatures of one set, which of them are for its index, and whether all, and those, are plain tokens.
 
+    ``shingles`` may be the first tokens of a set of ``size`` if these hold a whole prefix of rare ones.
+
     Of two linked sets, an index signature of the smaller one (either, if they are as large) is a
     signature of the other. The global order is rare tokens by hash, then frequent ones by hash.
     If a prefix is all rare, each token is a signature. Otherwise frequent tokens are dealt to
@@ -149,11 +158,8 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -
     next. The index takes the shorter prefix that suffices towards partners not smaller, so a set
     whose rare tokens already tell it from all that share its frequent ones is not met there.
     """
-    n = len(shingles)
-    is_frequent = np.zeros(n, bool)
-    if len(frequent):
-        kind = shingles >> CLASS_SHIFT
-        is_frequent = frequent[np.minimum(np.searchsorted(frequent, kind), len(frequent) - 1)] == kind
+    n = len(shingles) if size is None else size
+    is_frequent = _among(shingles >> CLASS_SHIFT, frequent)
     own = _size_class(n, num, den)
     parts = shingles[~is_frequent], shingles[is_frequent], (own, own + 1)
     every, plain = _prefix(*parts, allowed(n, num, den), num, den)
@@ -178,7 +184,7 @@ def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
                     ns.append(n)
                     keys.append(key)
                     fresh = n > 1 and (key, n) not in seen
-                    lows.append((shingles[: _counted(n, num, den)] >> CLASS_SHIFT).astype(np.int64) if fresh else None)
+                    lows.append(shingles[: _counted(n, num, den)].astype(np.int64) if fresh else None)
                     sketches.append(sketch(shingles) if fresh else None)
                     seen.add((key, n))
                 yield pa.RecordBatch.from_arrays(
@@ -193,42 +199,63 @@ def _sets(docs: DataFrame, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _signed(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """(sig, key, n, index, plain, index_plain) of every set, once a task."""
+SIGNED = "sig long, key long, n int, index boolean, plain boolean, index_plain boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = word_hashes(), set()
+
+def _signed_batch(sets: Iterator[tuple[np.ndarray, int, int]], frequent: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    """Signatures of sets given as (tokens or first tokens, key, size)."""
+    sigs, marks, sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [0], [(0, 0, True, True)]
+    for shingles, key, n in sets:
+        some, index, *plain = signatures(shingles, frequent, num, den, n)
+        sigs.append(some.astype(np.int64))
+        marks.append(index)
+        sizes.append(len(some))
+        found.append((key, n, *plain))
+    key, n, plain, index_plain = (np.repeat(np.array(c), sizes) for c in zip(*found))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(sigs)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), *map(pa.array, (np.concatenate(marks), plain.astype(bool), index_plain.astype(bool)))],
+        ["sig", "key", "n", "index", "plain", "index_plain"],
+    )
+
+
+def _signed(sets: DataFrame, long: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(sig, key, n, index, plain, index_plain) of every set, once a task.
+
+    The first tokens that ``_sets`` wrote hold the whole prefix of most sets; the others, ``long``,
+    come as texts.
+    """
+
+    def by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
-                sigs, marks, sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [0], [(0, 0, True, True)]
-                for text in batch.slice(start, BATCH_ROWS).column(1).to_pylist():
-                    shingles = shingle_set(text, hashes)
-                    n, key = len(shingles), set_key(shingles)
-                    if n > 1 and (key, n) not in seen:
-                        seen.add((key, n))
-                        some, index, *plain = signatures(shingles, frequent, num, den)
-                        sigs.append(some.astype(np.int64))
-                        marks.append(index)
-                        sizes.append(len(some))
-                        found.append((key, n, *plain))
-                key, n, plain, index_plain = (np.repeat(np.array(c), sizes) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs)), pa.array(key, pa.int64()), pa.array(n, pa.int32()), *map(pa.array, (np.concatenate(marks), plain.astype(bool), index_plain.astype(bool)))],
-                    ["sig", "key", "n", "index", "plain", "index_plain"],
-                )
+                low, ns, keys = batch.slice(start, BATCH_ROWS).columns
+                values = low.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                ns = ns.to_numpy()
+                found, ends = _rare_first(low, frequent)
+                whole = ~_past_first(found, np.diff(ends), ns, num, den)
+                rows = zip(ends[:-1][whole].tolist(), ends[1:][whole].tolist(), keys.to_numpy()[whole].tolist(), ns[whole].tolist())
+                yield _signed_batch(((values[i:j], key, n) for i, j, key, n in rows), frequent, num, den)
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                texts = batch.slice(start, BATCH_ROWS).column(0).to_pylist()
+                whole = (shingle_set(text, hashes) for text in texts)
+                yield _signed_batch(((x, set_key(x), len(x)) for x in whole), frequent, num, den)
 
-    return docs.mapInArrow(run, "sig long, key long, n int, index boolean, plain boolean, index_plain boolean")
+    first = sets.where(F.col("_low").isNotNull()).select("_low", "_n", "_key").mapInArrow(by_first, SIGNED)
+    return first.unionByName(long.select("text").mapInArrow(by_text, SIGNED))
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """Each set of a signature that may link to the smallest one indexed there, with that one as ``p``.
+def _postings(rows: DataFrame) -> DataFrame:
+    """Each set of a signature in ``rows`` (see ``_signed``) that may link to the smallest one indexed there, with that one as ``p``.
 
     Signatures of a single set, most of them, leave no row; nor do sets smaller than all that
     are indexed. One sort by signature; running windows hold a row at a time, so the size of a
     group does not matter.
     """
     order = Window.partitionBy("sig").orderBy("n", F.col("index").desc(), "key")
-    rows = _signed(docs, frequent, num, den)
     rows = rows.withColumns(
         {
             "p": F.first(F.when(F.col("index"), F.struct("key", "n", "plain", "index_plain")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
@@ -331,21 +358,25 @@ def _most_frequent(tokens: DataFrame) -> np.ndarray:
     return np.unique(most.select("token").toArrow()["token"].to_numpy().astype(np.int64).astype(np.uint64))
 
 
+def _rare_first(low: pa.ListArray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the first tokens of each set are not frequent, and the row ends within them."""
+    rare = ~_among(low.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> CLASS_SHIFT, frequent)
+    ends = np.concatenate([[0], np.cumsum(low.value_lengths().to_numpy(zero_copy_only=False))])
+    return np.diff(np.concatenate([[0], np.cumsum(rare)])[ends]), ends
+
+
+def _past_first(rare: np.ndarray, given: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Does the prefix of a set of ``n`` go past the tokens given, so many of them rare?"""
+    return (rare < n + (-n * num) // den + 1) & (given < n)
+
+
 def _lacks_rare(low: Column, n: Column, frequent: np.ndarray, num: int, den: int) -> Column:
     """Are so many of a set's first tokens frequent that its prefix goes past them?"""
 
     @F.arrow_udf("boolean")
     def lacks(lists: pa.Array, sizes: pa.Array) -> pa.Array:
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        rare = np.ones(len(values), np.int64)
-        if len(frequent):
-            rare -= frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        found = np.diff(np.concatenate([[0], np.cumsum(rare)])[ends])
-        ns = sizes.to_numpy(zero_copy_only=False)
-        need = ns + (-ns * num) // den + 1
-        return pa.array((found < need) & (lengths < ns))
+        found, ends = _rare_first(lists, frequent)
+        return pa.array(_past_first(found, np.diff(ends), sizes.to_numpy(zero_copy_only=False), num, den))
 
     return lacks(low, n)
 
@@ -366,6 +397,14 @@ def _later_tokens(num: int, den: int):
     return run
 
 
+def _long(sets: DataFrame, docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(key, text) of the sets whose prefix goes past the tokens that ``sets`` holds."""
+    lacking = sets.where(F.col("_low").isNotNull()).where(_lacks_rare(F.col("_low"), F.col("_n"), frequent, num, den))
+    lacking = lacking.groupBy("_key", "_n").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("_r"))
+    lacking = lacking.select(F.xxhash64("_key", "_n").alias("key"), F.col("_r._id").alias("rep"), F.col("_r._hash").alias("rep_hash"))
+    return _texts(write_table(lacking, "jaccard-short"), docs)
+
+
 def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, ``n_shingles`` and ``component_id`` of every row: connected groups of similar documents.
 
@@ -391,18 +430,17 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     sets = write_table(_sets(texts, num, den), "jaccard-sets")
     counted = lambda t, name: write_table(t.groupBy("token").count().where(F.col("count") > FREQUENT).withColumn("level", F.floor(4 * F.log2("count"))), name)
-    tokens = counted(sets.select(F.explode("_low").alias("token")), "jaccard-frequent")
+    tokens = counted(sets.select(F.explode("_low").alias("_low")).select(F.shiftrightunsigned("_low", int(CLASS_SHIFT)).alias("token")), "jaccard-frequent")
     frequent = _most_frequent(tokens)
     # Near copies in great number share more than the tokens counted so far, which hide that the next are frequent too.
-    short = sets.where(F.col("_low").isNotNull()).where(_lacks_rare(F.col("_low"), F.col("_n"), frequent, num, den))
-    short = short.groupBy("_key", "_n").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("_r"))
-    short = write_table(short.select(F.xxhash64("_key", "_n").alias("key"), F.col("_r._id").alias("rep"), F.col("_r._hash").alias("rep_hash")), "jaccard-short")
-    if not short.isEmpty():
-        rest = _texts(short, docs).select("text").mapInArrow(_later_tokens(num, den), "token long")
+    long = _long(sets, docs, frequent, num, den)
+    if not long.isEmpty():
+        rest = long.select("text").mapInArrow(_later_tokens(num, den), "token long")
         frequent = _most_frequent(tokens.unionByName(counted(rest, "jaccard-frequent")))
+        long = _long(sets, docs, frequent, num, den)
 
     node = lambda key, n: F.xxhash64(F.col(key), F.col(n).cast("long"))
-    postings = _postings(texts, frequent, num, den)
+    postings = _postings(_signed(sets, long, frequent, num, den))
     first = F.struct(node("p.key", "p.n").alias("key"), "p.n", "p.plain", "p.index_plain")
     postings = postings.select("sig", node("key", "n").alias("key"), "n", "index", "plain", "index_plain", first.alias("p"))
     postings = write_table(postings, "jaccard-postings")

@@ -230,6 +230,21 @@ def test_jaccard(spark, monkeypatch):
     assert jaccard.near_duplicate_groups(frame(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_signatures_follow_from_first_tokens():
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 40, 400):
+        whole = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        for share in (0.0, 0.1, 1.0):
+            frequent = np.unique(whole[rng.random(len(whole)) < share] >> jaccard.CLASS_SHIFT)
+            first = whole[: jaccard._counted(len(whole), 75, 100)]
+            rare = np.array([(~jaccard._among(first >> jaccard.CLASS_SHIFT, frequent)).sum()])
+            if jaccard._past_first(rare, np.array([len(first)]), np.array([len(whole)]), 75, 100)[0]:
+                assert share == 1.0 and n > 3  # these come as texts
+                continue
+            for x, y in zip(jaccard.signatures(first, frequent, 75, 100, len(whole)), jaccard.signatures(whole, frequent, 75, 100)):
+                assert np.array_equal(x, y)
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(7)
     word = lambda: f"w{rng.integers(0, 400)}"

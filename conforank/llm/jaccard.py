@@ -25,6 +25,11 @@ CLASS_SHIFT = np.uint64(24)
 CACHE_WORDS = 250_000
 #: Counters of a set's sketch.
 SKETCH = 256
+#: Members of a signature that are compared pair by pair; those of larger ones meet by their
+#: differences from a centre. Any number gives the same result.
+PAIRED_MEMBERS = 32
+#: Sets of centres that a worker remembers.
+CACHE_CENTRES = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 % 2**64 | 1 for i in range(WORDS)], np.uint64)
 
@@ -334,12 +339,80 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of signatures that hold several components, an indexed one among them, with ``comp``."""
+    """Members of signatures that hold several components, an indexed one among them, with ``comp`` and their number."""
     placed = members.join(comps, "key")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("sig")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count(F.lit(1)).alias("members"))
+    mixed = mixed.where("_x <> _y").select("sig", "members")
     return write_table(placed.join(mixed, "sig"), "jaccard-left")
 
 
+def _differences(met: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """``met`` (p, key, comp) with ``n``, ``np``, ``far`` (no link between the two) and the tokens that one of both lacks; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, centres = word_hashes(), {}
+        names = ["p", "key", "comp", "n", "np", "far", "tokens"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                piece = batch.slice(start, BATCH_ROWS)
+                ns, nps, far, found = [], [], [], []
+                for p, centre, text in zip(*(piece.column(i).to_pylist() for i in (0, 3, 4))):
+                    if p not in centres:
+                        if len(centres) >= CACHE_CENTRES:
+                            centres.clear()
+                        centres[p] = shingle_set(centre, hashes)
+                    own, other = shingle_set(text, hashes), centres[p]
+                    apart = np.setxor1d(own, other, assume_unique=True)
+                    ns.append(len(own))
+                    nps.append(len(other))
+                    far.append(len(apart) * (num + den) > (len(own) + len(other)) * (den - num))
+                    found.append(apart.astype(np.int64))
+                values = (pa.array(ns, pa.int64()), pa.array(nps, pa.int64()), pa.array(far, pa.bool_()), pa.array(found, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], *values], names)
+
+    needed = met.select(F.explode(F.array("p", "key")).alias("key")).distinct().join(nodes, "key")
+    found = _texts(needed, docs).dropDuplicates(["key"])  # repeated rows of a document give its text again
+    rows = met.join(found.withColumnRenamed("text", "_t"), "key").join(found.select(F.col("key").alias("p"), F.col("text").alias("_c")), "p")
+    rows = rows.select("p", "key", "comp", "_c", "_t").mapInArrow(run, "p long, key long, comp long, n long, np long, far boolean, tokens array<long>")
+    return write_table(rows, "jaccard-apart")
+
+
+def _through_centres(members: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members of a signature to its centre, and the pairs (a, b) of its other members that may link.
+
+    The centre of a signature is the member that most signatures hold. Two sets X and Y share as
+    many of the tokens that tell them from the centre P as makes |X - Y| + |Y - X| at most
+    (den - num) / (num + den) of their sizes. Members near P are linked to it, hence joined; where X
+    or Y is far from P, the least overlap of their differences is above 0 and bounds prefixes of
+    these: changes of near copies are mostly their own, so few pairs share one of the first, rarest
+    tokens. Of two linked sets, the first common one has enough tokens behind it on both sides.
+    """
+    popular = members.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
+    centres = members.join(popular, "key").groupBy("sig").agg(F.max_by("key", F.struct("_c", "key")).alias("p"))
+    met = members.join(centres, "sig").where("key <> p").select("p", "key", "comp").distinct()
+    apart = _differences(write_table(met, "jaccard-centres"), nodes, docs, num, den)
+    near = apart.where(~F.col("far")).select(F.col("p").alias("a"), F.col("key").alias("b"))
+
+    tokens = apart.select("p", "key", "comp", "n", "np", "far", F.size("tokens").cast("long").alias("d"), F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("p", "token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    # Rare tokens first, so ``left``, the tokens from one to the end, counts from the most frequent one.
+    order = Window.partitionBy("p", "key").orderBy(F.desc("_c"), F.desc("token"))
+    rows = tokens.join(shared, ["p", "token"]).withColumn("left", F.row_number().over(order).cast("long"))
+    room = 2 * (num + den) * F.col("left")
+    least = lambda size: (num + den) * F.col("d") - (den - num) * size
+    fits = num * F.col("left") >= num * F.col("d") - (den - num) * F.col("n")
+    rows = rows.withColumn("first", room >= least(F.col("n") - F.col("np")))  # towards partners far from the centre
+    rows = rows.where(fits & (F.col("first") | (F.col("far") & (room >= least(F.col("n") + F.col("np"))))))
+    rows = write_table(rows.select("p", "token", "key", "comp", "n", "d", "far", "left", "first"), "jaccard-changes")
+    named = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "n", "d", "far", "left", "first")]
+    x, y = rows.where("first").select("p", "token", *named("x")), rows.where("far").select("p", "token", *named("y"))
+    small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    enough = (num + den) * (F.col("d_x") + F.col("d_y")) - (den - num) * (F.col("n_x") + F.col("n_y")) <= 2 * (num + den) * F.least("left_x", "left_y")
+    once = ~F.col("far_x") | (F.col("first_y") & (F.col("key_x") < F.col("key_y")))
+    pairs = x.join(y, ["p", "token"]).where((F.col("comp_x") != F.col("comp_y")) & once & (den * small >= num * large) & enough)
+    return near, pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+
+
 def _unknown(pairs: DataFrame, done: DataFrame) -> DataFrame:
     """``pairs`` that are not among those ``done``."""
     known = done.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
@@ -414,10 +487,10 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
 
     Equal sets are one node, so copies of any number cost a row each. Within a signature all sets
     are first compared with the smallest only; verified links are joined to components, and then
-    just the pairs of different components are compared. A group of thousands of near copies so
-    costs pairs in proportion to its size as far as links to one set join it; sets that are close
-    to each other but below the similarity are still compared in pairs, which grow with the
-    square of their number. A passage that many documents share is of the
+    just the pairs of different components are compared, in large signatures only those whose
+    differences from one central member have enough in common (see ``_through_centres``). A group
+    of thousands of near copies so costs pairs in proportion to its size as far as links to one set
+    join it, and few beyond where each has changes of its own. A passage that many documents share is of the
     frequent class and no signature of theirs. Sizes, the number of common
     signatures and counts of tokens in hash buckets filter pairs beforehand, without losing a link.
 
@@ -461,13 +534,19 @@ def near_duplicate_groups(docs: DataFrame, num: int = 75, den: int = 100) -> Dat
     members = postings.drop("p").unionByName(smallest)
     links = done.where("linked").select("a", "b")
     left = _unsettled(members, comps)
+    large, left = left.where(F.col("members") > PAIRED_MEMBERS), left.where(F.col("members") <= PAIRED_MEMBERS)
     x, y = (left.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "index", "plain", "index_plain", "comp")]) for s in "xy")
     # The smaller one is indexed; of equal ones, either, and the smaller key is named first.
     equal = (F.col("n_x") == F.col("n_y")) & (F.col("key_x") < F.col("key_y")) & (F.col("index_x") | F.col("index_y"))
     rest = x.join(y, "sig").where((F.col("comp_x") != F.col("comp_y")) & (((F.col("n_x") < F.col("n_y")) & F.col("index_x")) | equal))
     rest = _possible(rest.select(*sides("key_x", "n_x", "index_plain_x", "key_y", "n_y", "plain_y")), num, den)
+    crowded = not large.isEmpty()
+    if crowded:  # pairs that small signatures show too rarely, as they share a large one, are among these
+        near, other = _through_centres(large, nodes, docs, num, den)
+        links = links.unionByName(near)
+        rest = rest.unionByName(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = _bounded(_unknown(rest, done), nodes, num, den)
-    if not rest.isEmpty():
+    if crowded or not rest.isEmpty():
         more = _verified(rest, nodes, docs, num, den)
         links = links.unionByName(more.where("linked").select("a", "b"))
         comps = write_table(components(nodes, links), "jaccard-components")

@@ -230,6 +230,29 @@ def test_jaccard(spark, monkeypatch):
     assert jaccard.near_duplicate_groups(frame(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_near_copies_below_the_similarity_are_not_all_paired(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 100_000)}"
+    rows = []
+    for family, length in enumerate((146, 150, 60)):
+        base = [word() for _ in range(length)]
+        for i in range(150 if family == 0 else 25):
+            copy = list(base)
+            for j in rng.choice(length - 20, 4 if i % 10 else int(rng.integers(1, 4)), False):
+                copy[j] = word()
+            copy[length - int(rng.integers(0, 20)) :] = [word() for _ in range(int(rng.integers(0, 4)))] if family else copy[length:]
+            rows.append((1000 * family + i, " ".join(copy)))
+    rows += [rows[0], (5, None), (None, rows[3][1])]
+    pairs, bounded = [], jaccard._bounded
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    monkeypatch.setattr(jaccard, "PAIRED_MEMBERS", 1, raising=False)
+    monkeypatch.setattr(jaccard, "_bounded", lambda found, *args: pairs.append(found.count()) or bounded(found, *args))
+    got = jaccard.near_duplicate_groups(frame(spark, rows))
+    assert pairs_of(got, "doc_id", "n_shingles", "component_id") == (want := brute_groups(rows))
+    assert 60 < len({c for _, _, c in want}) < 190
+    assert sum(pairs) < 4_000, pairs  # about 9,000 of the 11,000 pairs of the first family before
+
+
 def test_signatures_follow_from_first_tokens():
     rng = np.random.default_rng(9)
     for n in (2, 3, 40, 400):

@@ -377,10 +377,24 @@ def _differences(met: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, de
     return write_table(rows, "jaccard-apart")
 
 
+def _fewer_centres(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """``centres`` (sig, p), each that is a member elsewhere replaced by the centre of most signatures that hold it.
+
+    A centre need not be a member, as differences from any set tell the same pairs. Sets of a family
+    are members of ever more large signatures as it grows, whose centres are of that family too:
+    with these replaced, a set meets about one centre, not one for each kind of signature.
+    """
+    met = members.join(centres, "sig").where("key <> p")
+    met = met.join(centres.select(F.col("p").alias("key")).distinct(), "key", "left_semi").groupBy("key", "p").count()
+    onward = met.groupBy(F.col("key").alias("p")).agg(F.max_by("p", F.struct("count", "p")).alias("_next"))
+    return centres.join(onward, "p", "left").select("sig", F.coalesce("_next", "p").alias("p"))
+
+
 def _through_centres(members: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of members of a signature to its centre, and the pairs (a, b) of its other members that may link.
 
-    The centre of a signature is the member that most signatures hold. Two sets X and Y share as
+    The centre of a signature is the member that most signatures hold, or that one's own centre
+    elsewhere (see ``_fewer_centres``). Two sets X and Y share as
     many of the tokens that tell them from the centre P as makes |X - Y| + |Y - X| at most
     (den - num) / (num + den) of their sizes. Members near P are linked to it, hence joined; where X
     or Y is far from P, the least overlap of their differences is above 0 and bounds prefixes of
@@ -389,6 +403,7 @@ def _through_centres(members: DataFrame, nodes: DataFrame, docs: DataFrame, num:
     """
     popular = members.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
     centres = members.join(popular, "key").groupBy("sig").agg(F.max_by("key", F.struct("_c", "key")).alias("p"))
+    centres = _fewer_centres(members, write_table(centres, "jaccard-popular"))
     met = members.join(centres, "sig").where("key <> p").select("p", "key", "comp").distinct()
     apart = _differences(write_table(met, "jaccard-centres"), nodes, docs, num, den)
     near = apart.where(~F.col("far")).select(F.col("p").alias("a"), F.col("key").alias("b"))

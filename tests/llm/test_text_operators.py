@@ -253,6 +253,35 @@ def test_near_copies_below_the_similarity_are_not_all_paired(spark, monkeypatch)
     assert sum(pairs) < 4_000, pairs  # the first family alone has 11,175
 
 
+def test_members_of_a_family_meet_few_centres(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(0, 100_000)}"
+    base, rows = [word() for _ in range(120)], []
+    for i in range(40):  # most share too little with each other, a few are near copies
+        copy = list(base)
+        for start in rng.choice(12, i % 4, False) * 10:
+            copy[start : start + 10] = [word() for _ in range(10)]
+        copy[0] = word()
+        rows.append((i, " ".join(copy)))
+    docs = frame(spark, rows)
+    sets = [set(jaccard.shingle_set(text, jaccard.WordHashes()).tolist()) for _, text in rows]
+    held = [set(rng.choice(40, 24, False).tolist()) for _ in range(30)]
+    members = spark.createDataFrame([(s, k, k) for s, keys in enumerate(held) for k in sorted(keys)], "sig long, key long, comp long")
+    nodes = docs.selectExpr("cast(doc_id as long) AS key", "doc_id AS rep", "xxhash64(text) AS rep_hash")
+    met, differences = [], jaccard._differences
+    monkeypatch.setattr(jaccard, "_differences", lambda found, *args: met.append(found.count()) or differences(found, *args))
+    near, pairs = jaccard._through_centres(members, nodes, docs, 75, 100)
+    linked = lambda x, y: 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+    groups = {i: {i} for i in range(40)}
+    near, pairs = ([tuple(r) for r in x.collect()] for x in (near, pairs))
+    for x, y in near + [p for p in pairs if linked(*p)]:
+        for k in (both := groups[x] | groups[y]):
+            groups[k] = both
+    due = [(x, y) for x in range(40) for y in range(x) if linked(x, y) and any({x, y} <= h for h in held)]
+    assert len(due) > 30 and all(linked(*p) for p in near) and all(x in groups[y] for x, y in due)
+    assert met[0] < 80, met  # 100 before
+
+
 def test_signatures_follow_from_first_tokens():
     rng = np.random.default_rng(9)
     for n in (2, 3, 40, 400):
